@@ -78,3 +78,18 @@ def crc_mod(column: str, mod: int):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, folds: int = 5, held: int = 0) -> DataFrame:
+    """(doc_id, text, y) of about ``bound`` labelled documents outside the held-out fold, or all if there are fewer.
+
+    A row is in the sample if a hash of its id is below bound / number of such labels: the same rows
+    each time and evenly spread.  Null labels are left out; of several labels of one id the largest
+    counts.  The ids are at most a little over ``bound``, so they are broadcast.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held))
+    n = known.count()
+    if n > bound:
+        known = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(label), "doc_id"), 11) < F.lit(int(bound / n * (1 << 53))))
+    picked = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")

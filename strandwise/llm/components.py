@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     where a node has very many links, so no group is gathered in one task.  Each round is written to the
     shared folder; nothing is collected but two totals a round.
     """
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
+    now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         now = _small_star(_large_star(now)).filter("a > b").distinct()

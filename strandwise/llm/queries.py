@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
+from .gam_classifier import quality_scores
 from .mixing import mix
+from .outliers import BASE, quality_verdicts
 from .sentencepiece_codec import token_digests
 from .sharding import shard_documents
 from .simhash import simhash_components
+from .toxicity import toxicity_scores
 
 SHARDS = 24
 
@@ -19,6 +22,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, sf_dir):
+    scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op9_quality_classifier(spark, sf_dir):
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_sharding(spark, sf_dir):
     placed = shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -65,5 +82,5 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op7_mixing, op8_sentencepiece, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_quality_rules, op9_quality_classifier, op6_sharding, op7_mixing, op8_sentencepiece, op10_simhash)}
 ORACLES = {"op7_mixing": OP7_SQL}
