@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .embedding_join import near_vectors
 from .gam_classifier import quality_scores
 from .mixing import mix
+from .kneser_ney import held_out_scores
 from .outliers import BASE, quality_verdicts
 from .sentencepiece_codec import token_digests
 from .sharding import shard_documents
@@ -27,6 +29,15 @@ def op1_toxicity(spark, sf_dir):
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
 
 
+def op2_lm_scoring(spark, sf_dir):
+    scored = held_out_scores(table(spark, sf_dir, "documents"))
+    return scored.withColumn("held_out", crc_mod("doc_id", 7) == 2)
+
+
+def op3_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept")
 
@@ -82,5 +93,5 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_quality_rules, op9_quality_classifier, op6_sharding, op7_mixing, op8_sentencepiece, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_embedding_near_dedup, op5_quality_rules, op9_quality_classifier, op6_sharding, op7_mixing, op8_sentencepiece, op10_simhash)}
 ORACLES = {"op7_mixing": OP7_SQL}
