@@ -1,3 +1,73 @@
-STAGES=[]
-ORACLE_SQL=None
-run=None
+"""The corpus pipeline: five operators in a row, each over all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents.  ``run`` writes each stage's result to the shared folder and reads it back, so no stage
+recomputes another and a lost executor costs a re-read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandwise.llm.common import cut, table
+from strandwise.llm.mixing import mixed_documents
+from strandwise.llm.outliers import quality_verdicts
+from strandwise.llm.queries import tokenizer
+from strandwise.llm.sentencepiece_codec import token_digests
+from strandwise.llm.simhash import one_of_each
+from strandwise.llm.toxicity import toxicity_scores
+
+#: From this score on a document counts as toxic.
+TOXIC = 0.5
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept`` (doc_id), null ids included."""
+    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below ``TOXIC``; of rows that share an id, all go if one is toxic."""
+    toxic = toxicity_scores(docs, table(spark, sf_dir, "labels")).filter(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_id"]), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie within their group's Mahalanobis bound."""
+    return _keep(docs, quality_verdicts(docs).filter("kept"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest id) of each group of near copies."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each copy."""
+    return token_digests(docs, tokenizer("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", sentencepiece),
+]
+
+#: The grammar, the determinant estimates and the tokenizer have no SQL form; tests hold the run against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -13,6 +13,7 @@ from .outliers import BASE, quality_verdicts
 from .sentencepiece_codec import token_digests
 from .sharding import shard_documents
 from .simhash import simhash_components
+from .token_counts import section_token_counts
 from .toxicity import toxicity_scores
 
 SHARDS = 24
@@ -38,6 +39,12 @@ def op3_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return section_token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept")
 
@@ -93,5 +100,5 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_embedding_near_dedup, op5_quality_rules, op9_quality_classifier, op6_sharding, op7_mixing, op8_sentencepiece, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_embedding_near_dedup, op4_token_counts, op5_quality_rules, op9_quality_classifier, op6_sharding, op7_mixing, op8_sentencepiece, op10_simhash)}
 ORACLES = {"op7_mixing": OP7_SQL}
