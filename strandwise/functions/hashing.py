@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 #: ntHash seeds of the four bases, and the constants of its multi-hash extension (fixed values).
 NT_SEEDS = {"A": 0x3C8BFBB395C60474, "C": 0x3193C18562A02B4C, "G": 0x20323ED082572324, "T": 0x295549F54BE24456}
@@ -84,7 +85,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def inv64(code: pd.Series) -> pd.Series:
     """Invertible 64-bit hash of a code, as a signed long."""
     return pd.Series(mix64(code.to_numpy(np.int64).view(np.uint64)).view(np.int64))
@@ -93,7 +94,7 @@ def inv64(code: pd.Series) -> pd.Series:
 def nthash_multi(k: int, m: int):
     """Arrow function: ``m`` hashes from one, the first unchanged."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf(ArrayType(LongType()))
     def run(h: pd.Series) -> pd.Series:
         x = h.to_numpy(np.int64).view(np.uint64)
         out = [x]
