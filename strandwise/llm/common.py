@@ -66,11 +66,6 @@ def ranked(df: DataFrame, order: list[str], sums: dict[str, str], what: str = "r
     return out.select(*df.columns, *[v.alias(k) for k, v in shifted.items()])
 
 
-def tagged(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exactly ``columns`` of ``df``; a missing one is null.  Other columns, whatever their names, are dropped."""
-    return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
-
-
 def crc_mod(column: str, mod: int):
     """crc32 of the id as text, modulo ``mod``: the fold of a document (a null id is in fold 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0)).cast("int")

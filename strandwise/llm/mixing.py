@@ -75,7 +75,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240531, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    t = _targets(docs, text_col, source_col, **how).select(F.col("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"))
-    joined = docs.join(t, docs[source_col].cast("string").eqNullSafe(F.col("_source")))
-    taken = joined.withColumn("_copies", _copies(id_col, "_target", "_size", seed).cast("int")).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    t = _targets(docs, text_col, source_col, **how)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_own"))
+    taken = rows.join(t, F.col("_own").eqNullSafe(F.col("_source"))).withColumn("_copies", _copies("_id", "target", "source_size", seed).cast("int"))
+    return taken.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -165,7 +165,7 @@ def codec(model_file: str) -> PieceCodec:
 
 
 def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = "decoded") -> DataFrame:
-    """``docs`` with an array of ids and, if named, the decoded text."""
+    """``docs`` with an array of ids and, if named, the decoded text; columns of these names are replaced."""
     kinds = f"{ids_col} array<int>" + (f", {decoded_col} string" if decoded_col else "")
 
     @F.pandas_udf(f"struct<{kinds.replace(' array', ':array').replace(' string', ':string')}>")
@@ -176,8 +176,9 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", i
         ids = [c.encode(t) for t in texts]
         return pd.DataFrame({ids_col: ids} | ({decoded_col: [c.decode(i) for i in ids]} if decoded_col else {}))
 
-    run.__module__ = __name__
-    return docs.withColumn("_enc", run(F.col(text_col))).select(*docs.columns, "_enc.*")
+    found = docs.select(F.struct("*").alias("_row"), run(F.col(text_col).cast("string")).alias("_enc")).select("_row.*", F.col("_enc").alias("_enc_"))
+    names = [ids_col, *([decoded_col] if decoded_col else [])]
+    return found.withColumns({n: F.col("_enc_")[n] for n in names}).drop("_enc_")
 
 
 def token_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
