@@ -1,7 +1,7 @@
 """FASTA and FASTQ files as a DataFrame.
 
-``read_fastx`` splits plain files by record: Spark's text reader cuts them at the record mark, so one large
-file is read by many tasks; compressed files are one task each.  ``FastxDataSource`` offers the same
+``read_fastx`` reads by Spark's text source, so one large plain file is read by many tasks; compressed files
+are one task each.  ``FastxDataSource`` offers the same
 records as ``spark.read.format("fastx")`` for files that Python can open.
 """
 
@@ -87,8 +87,9 @@ class FastxDataSource(DataSource):
 def read_fastx(spark: SparkSession, path: str) -> DataFrame:
     """(file, idx, name, seq, qual) of FASTA or FASTQ files in any store that Spark reads; .gz is unpacked.
 
-    FASTA is cut at ">" at the start of a line.  FASTQ is read by whole lines and dealt in fours by line
-    number within its file, as "@" may also begin a quality line.
+    FASTA is cut at ">" at the start of a line.  A FASTQ record is four lines, as "@" may also begin a
+    quality line: lines are numbered within their file from one row of totals for each input split, so a
+    large plain file is read by many tasks.  Blank lines may only end a file; a malformed record fails.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
@@ -99,20 +100,24 @@ def read_fastx(spark: SparkSession, path: str) -> DataFrame:
         text = F.regexp_replace("value", "^>", "")
         rows = raw.filter(F.trim("value") != "").select("file", "at", F.regexp_extract(text, r"^([^\r\n]*)", 1).alias("name"), F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"\s", "").alias("seq"), F.lit(None).cast("string").alias("qual"))
     else:
-        # Order within a file needs the file whole, so each is one task, streamed and not held.
-        def run(batches):
-            import io
-
-            import pandas as pd
+        rows = _fastq(spark.read.text(path))
+    return rows.select("file", F.col("at").alias("idx"), "name", "seq", "qual")
 
-            for pdf in batches:
-                for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                    data = gzip.decompress(content) if p.endswith(".gz") else content
-                    recs = list(parse_fastx(io.StringIO(data.decode("ascii", "replace"))))
-                    yield pd.DataFrame({"file": p, "at": range(len(recs)), "name": [r[0] for r in recs], "seq": [r[1] for r in recs], "qual": [r[2] for r in recs]})
 
-        rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, at long, name string, seq string, qual string")
-    return rows.select("file", F.col("at").alias("idx"), "name", "seq", "qual")
+def _fastq(text: DataFrame) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    lines = text.select(F.rtrim("value").alias("value"), F.input_file_name().alias("file"), F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "split").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)  # a row for each split
+    splits = splits.select("file", "split", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = lines.join(splits, ["file", "split"]).withColumn("line", F.col("before") + F.col("id") - F.col("least"))
+    part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    found = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("at")).agg(*[part(k).alias(f"l{k}") for k in range(4)])
+    found = found.filter(F.greatest(*[F.length(F.coalesce(f"l{k}", F.lit(""))) for k in range(4)]) > 0)
+    good = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("l1")).otherwise(F.raise_error(F.concat(F.lit("malformed record in "), "file")))
+    return found.select("file", "at", F.substring("l0", 2, 1 << 30).alias("name"), checked.alias("seq"), F.col("l3").alias("qual"))
 
 
 def retained(reads: DataFrame) -> DataFrame:

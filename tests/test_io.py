@@ -37,6 +37,14 @@ def test_read_fastx(spark, tmp_path):
     (tmp_path / "x.fa").write_text(FASTA)
     got = sorted((r["name"], r["seq"]) for r in fastx.read_fastx(spark, str(tmp_path / "x.fa")).collect())
     assert got == [("a one", "ACGTACG"), ("b", "TTTT"), ("c", "ACGX")]
+    (tmp_path / "many.fq").write_text("".join(f"@n{k}\nACGT{'ACGT'[k % 4]}\n+\n@@@@@\n" for k in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    many = fastx.read_fastx(spark, str(tmp_path / "many.fq"))
+    assert {(r["idx"], r["name"], r["seq"]) for r in many.collect()} == {(k, f"n{k}", f"ACGT{'ACGT'[k % 4]}") for k in range(5000)}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "bad.fq").write_text("@a\nACGT\n+\nIII\n")
+    with pytest.raises(Exception, match="malformed"):
+        fastx.read_fastx(spark, str(tmp_path / "bad.fq")).collect()
     (tmp_path / "none.fa").write_text("")
     assert fastx.read_fastx(spark, str(tmp_path / "none.fa")).count() == 0
 
