@@ -88,7 +88,7 @@ def block_join(home: np.ndarray, target: np.ndarray, pivot: np.ndarray, weight:
     return links, (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = 6000, block: int = 2048, sample_rows: int = 4000, max_pivots: int = 256) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = 8192, block: int = 8192, sample_rows: int = 4000, max_pivots: int = 256) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
     v = F.col(vector_col)
