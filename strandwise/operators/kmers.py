@@ -1,7 +1,9 @@
 """Sliding windows over sequences: k-mers, ranges, blocks, slices, and their multiplicities.
 
-Filters and columns are applied before the explode, and the sequence itself is dropped right after it, so
-only k-mers ever reach a shuffle.  Sequences shorter than k (or null) give no rows.
+A sequence's k-mers are taken in one linear pass (a look-ahead match at every base) and exploded from an
+array, so the sequence is not copied beside each k-mer, and only k-mers ever reach a later shuffle.  Long
+sequences are cut into overlapping chunks first, which bounds the arrays.  Sequences shorter than k (or
+null) give no rows.
 """
 
 from __future__ import annotations
@@ -11,37 +13,50 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 
+#: Bases of a chunk.
+CHUNK = 1 << 16
 
-def _starts(k: int, begin=None, end=None):
-    """0-based starts of k-mers that lie within [begin, end) of the sequence."""
-    n = F.length("seq")
-    lo = F.lit(0) if begin is None else F.greatest(F.lit(0), begin)
-    hi = (n if end is None else F.least(n, end)) - k
-    return F.when(hi >= lo, F.sequence(lo.cast("int"), hi.cast("int")))
 
+def spread(seqs: DataFrame) -> DataFrame:
+    """Sequences dealt by number over all shuffle partitions.
+
+    A file may hold all its reads in one row group, and k-mers are many times the sequences: dealing the
+    latter keeps all cores busy, and later groupings by sequence need no further exchange.
+    """
+    return seqs.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id")
 
-def kmers(seqs: DataFrame, k: int, canonical: bool = False, begin=None, end=None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(seq_id, pos, kmer): every k-mer, or its canonical form.
 
-    Canonical forms compare a window of the sequence with the matching window of its reverse complement,
-    which is made once for each sequence and not for each k-mer.
+def kmers(seqs: DataFrame, k: int, canonical: bool = False, begin: int = 0, end: int | None = None, keep: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+    """(seq_id, pos, kmer): every k-mer of [begin, end), or its canonical form.
+
+    Canonical forms pair the k-mers of a chunk with those of its reverse complement in reverse order.
+    ``dealt`` tells that ``seqs`` is spread over the cores already.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    cols = ["seq_id", *keep, "seq", *(["_rc"] if canonical else [])]
-    src = seqs.withColumn("_rc", A.reverse_complement(F.col("seq"))) if canonical else seqs
-    rows = src.select(*cols, F.explode(_starts(k, begin, end)).alias("pos"))
-    word = F.col("seq").substr(F.col("pos") + 1, F.lit(k))
+    part = F.col("seq")
+    if begin or end is not None:
+        part = part.substr(F.lit(begin + 1), F.lit((1 << 30) if end is None else max(0, end - begin)))
+    src = seqs.select("seq_id", *keep, part.alias("seq"))
+    src = src if dealt else spread(src)
+    raw = F.encode("seq", "UTF-8")  # bytes are reached by offset, characters only by walking
+    n = F.length("seq")
+    many = F.transform(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)), lambda p: F.substring(raw, p + 1, F.lit(CHUNK + k - 1)).cast("string"))
+    rows = src.filter(n >= k).select("seq_id", *keep, F.posexplode(F.when(n <= CHUNK, F.array("seq")).otherwise(many)).alias("_chunk", "_seq"))
+    every = F.lit(f"(?=(.{{{k}}})).")
+    words = F.regexp_extract_all("_seq", every, F.lit(1))
     if canonical:
-        word = F.least(word, F.col("_rc").substr(F.length("seq") - F.col("pos") - k + 1, F.lit(k)))
-    return rows.select("seq_id", *keep, "pos", word.alias("kmer"))
+        back = F.reverse(F.regexp_extract_all(A.reverse_complement(F.col("_seq")), every, F.lit(1)))
+        words = F.zip_with(words, back, lambda x, y: F.least(x, y))
+    out = rows.select("seq_id", *keep, "_chunk", F.posexplode(words).alias("_pos", "kmer"))
+    return out.select("seq_id", *keep, (F.col("_chunk") * CHUNK + F.col("_pos") + begin).alias("pos"), "kmer")
 
 
 def kmer_range(seqs: DataFrame, k: int, begin: int, end: int, canonical: bool = False) -> DataFrame:
     """k-mers that lie fully in [begin, end); ``begin`` must be below ``end``."""
     if begin >= end:
         raise ValueError("begin must be below end")
-    return kmers(seqs, k, canonical, F.lit(begin), F.lit(end))
+    return kmers(seqs, k, canonical, begin, end)
 
 
 def kmer_weights(seqs: DataFrame, k: int, canonical: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Bottom-k sketches, one-permutation bins and the exponential race are DataFrame expressions.  The sketch
 kernels run in Arrow batches over whole sequences: a signature needs its sequence only, so they are one
-map pass without a shuffle.  One signature for many sequences merges partial ones slot by slot.
+map pass after the sequences are spread over the cores.  One signature for many sequences merges partial ones slot by slot.
 
 Algorithms from the papers: SuperMinHash (arXiv:1706.05698), ProbMinHash as P-MinHash's exponential race
 (arXiv:1911.00675), optimal densification (Shrivastava 2017) and its reverse (Mai and others 2020),
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions.hashing import inv32, mix64
-from .kmers import kmer_weights, kmers
+from .kmers import kmer_weights, kmers, spread
 
 #: Golden-ratio step between the slots of the exponential race (a fixed value).
 SLOT_STEP = 2654435769
@@ -72,9 +72,9 @@ def bottom_k(rows: DataFrame, size: int, hash_col: Column, keys: tuple[str, ...]
     return ranked.filter(F.col("rank") <= size).select(*keys, "rank", "hash", "cnt")
 
 
-def minhash(seqs: DataFrame, k: int, size: int, hash_fn: Callable[[Column], Column] = code_hash, begin: int | None = None, end: int | None = None) -> DataFrame:
+def minhash(seqs: DataFrame, k: int, size: int, hash_fn: Callable[[Column], Column] = code_hash, begin: int = 0, end: int | None = None) -> DataFrame:
     """Bottom-k sketch of the canonical k-mers of each sequence, or of a range of it."""
-    rows = kmers(seqs, k, True, None if begin is None else F.lit(begin), None if end is None else F.lit(end))
+    rows = kmers(seqs, k, True, begin, end)
     return bottom_k(rows, size, hash_fn(F.col("kmer")))
 
 
@@ -231,7 +231,7 @@ KERNELS: dict[str, tuple[Callable, str, str | None]] = {
 
 
 def sketch(seqs: DataFrame, params: SketchParams, canonical: bool | None = None) -> DataFrame:
-    """(seq_id, sig array): a signature for each sequence that has a k-mer; one map pass."""
+    """(seq_id, sig array): a signature for each sequence that has a k-mer."""
     kernel, slot, _ = KERNELS[params.algo]
     aa = params.data_type == "AA"
     if params.kmer_size > (12 if aa else 32) or params.kmer_size < 1:
@@ -250,7 +250,7 @@ def sketch(seqs: DataFrame, params: SketchParams, canonical: bool | None = None)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(list(sigs), pa.list_(pa.float64() if slot == "double" else pa.int64()))], names=["seq_id", "sig"])
 
     kind = seqs.schema["seq_id"].dataType.simpleString()
-    return seqs.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, sig array<{slot}>")
+    return spread(seqs.select("seq_id", "seq")).mapInArrow(run, f"seq_id {kind}, sig array<{slot}>")
 
 
 def sketch_all(seqs: DataFrame, params: SketchParams) -> DataFrame:
@@ -299,4 +299,4 @@ def block_sketch(seqs: DataFrame, k: int, m: int, block: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(sigs))), pa.array(range(at, at + len(sigs)), pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], names=["seq_id", "block_no", "sig"])
 
     kind = seqs.schema["seq_id"].dataType.simpleString()
-    return seqs.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, block_no int, sig array<long>")
+    return spread(seqs.select("seq_id", "seq")).mapInArrow(run, f"seq_id {kind}, block_no int, sig array<long>")

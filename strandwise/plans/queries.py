@@ -73,12 +73,12 @@ def _(spark, sf):
 
 
 def numbered(spark, sf):
-    return running(seqs(spark, sf).filter(F.length("seq") > 0), "seq_id")
+    return running(seqs(spark, sf).filter(F.length("seq") > 0).select("seq_id", F.length("seq").alias("n_bases")), "seq_id")
 
 
 @query("src_anchor", with_(S.D) + "SELECT seq_id, row_number() OVER (ORDER BY seq_id) AS readnum, length(seq) AS n_bases FROM d WHERE length(seq) > 0")
 def _(spark, sf):
-    return numbered(spark, sf).select("seq_id", (F.col("row_index") + 1).alias("readnum"), F.length("seq").alias("n_bases"))
+    return numbered(spark, sf).select("seq_id", (F.col("row_index") + 1).alias("readnum"), "n_bases")
 
 
 @query("src_pack", with_(S.D) + "SELECT seq_id, (row_number() OVER (ORDER BY seq_id) - 1) // 5000 AS pack FROM d WHERE length(seq) > 0")
@@ -658,7 +658,8 @@ GROUPS_SQL = (
 
 @query("groups_equal", GROUPS_SQL)
 def _(spark, sf):
-    sized = running(seqs(spark, sf).filter("seq IS NOT NULL"), "seq_id").select(F.col("row_index").alias("i"), F.length("seq").cast("long").alias("size"))
+    lengths = seqs(spark, sf).filter("seq IS NOT NULL").select("seq_id", F.length("seq").cast("long").alias("size"))
+    sized = running(lengths, "seq_id").select(F.col("row_index").alias("i"), "size")
     return ST.equal_groups(sized, 20)
 
 
@@ -934,7 +935,7 @@ def _(spark, sf):
 
 @query("q_compress", Q8 + "SELECT seq_id, string_agg(q8::VARCHAR, '' ORDER BY pos) AS q8 FROM x GROUP BY seq_id")
 def _(spark, sf):
-    return levels(spark, sf).filter(F.size("q8") > 0).select("seq_id", F.array_join(F.transform("q8", lambda x: x.cast("string")), "").alias("q8"))
+    return levels(spark, sf).filter("q8 <> ''")
 
 
 @query("q_decompress", Q8 + "SELECT q8, count(*) AS n, min(pos) AS first FROM x GROUP BY q8")
@@ -949,5 +950,4 @@ def _(spark, sf):
 
 @query("qual_lookup", Q8 + "SELECT seq_id, string_agg(q8::VARCHAR, '' ORDER BY pos) AS q8 FROM x WHERE pos >= 10 AND pos < 30 GROUP BY seq_id")
 def _(spark, sf):
-    part = QU.read_block(levels(spark, sf), 10, 30).filter(F.size("q8") > 0)
-    return part.select("seq_id", F.array_join(F.transform("q8", lambda x: x.cast("string")), "").alias("q8"))
+    return QU.read_block(levels(spark, sf), 10, 30).filter("q8 <> ''")

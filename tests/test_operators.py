@@ -61,6 +61,15 @@ def test_kmers_are_substrings(spark):
     assert canon == {(i, min(S80[i : i + 7], rc(S80[i : i + 7]))) for i in range(74)}
 
 
+def test_long_sequences_are_cut_without_loss(spark):
+    rnd = random.Random(8)
+    text = "".join(rnd.choices("ACGT", k=3 * kmers.CHUNK + 5))
+    got = kmers.kmers(seqs(spark, text), 9).agg(F.count("*"), F.countDistinct("pos"), F.max("pos")).first()
+    assert tuple(got) == (len(text) - 8,) * 2 + (len(text) - 9,)
+    around = kmers.kmers(seqs(spark, text), 9, True).filter(F.abs(F.col("pos") - kmers.CHUNK) < 12).collect()
+    assert len(around) == 23 and all(r["kmer"] == min(text[r["pos"] : r["pos"] + 9], A_rc(text[r["pos"] : r["pos"] + 9])) for r in around)
+
+
 def test_short_null_and_ranges(spark):
     df = spark.createDataFrame([(0, "ACG"), (1, ""), (2, None)], "seq_id long, seq string")
     assert kmers.kmers(df, 4).count() == 0 and kmers.kmers(df, 4, True).count() == 0
@@ -115,14 +124,18 @@ def test_hashes_in_batches(spark):
 
 @pytest.mark.parametrize("q,level", [(0x20, 0), (0x24, 0), (0x25, 1 - 1 + 1), (0x27, 1), (0x28, 2), (0x2A, 2), (0x2B, 3), (0x31, 5), (0x34, 6), (0x36, 6), (0x37, 7), (0x38, 7), (0x49, 7)])
 def test_remap(spark, q, level):
+    assert Q.level_of(q) == level
     assert one(spark, Q.remap8(F.col("q")), q=q) == level
 
 
 def test_quality_lookups(spark):
     df = spark.createDataFrame([(0, "%%(+"), (1, ""), (2, None)], "seq_id long, qual string")
     c = qualities.compress(df)
-    assert {r["seq_id"]: list(r["q8"]) for r in c.collect()} == {0: [1, 1, 2, 3], 1: []}
-    assert qualities.read_block(c, 1, 3).filter("seq_id = 0").first()["q8"] == [1, 2]
+    assert {r["seq_id"]: r["q8"] for r in c.collect()} == {0: "1123", 1: ""}
+    assert qualities.read_block(c, 1, 3).filter("seq_id = 0").first()["q8"] == "12"
+    assert [r["q8"] for r in qualities.decompress(c).orderBy("pos").collect()] == [1, 1, 2, 3]
+    every = "".join(map(chr, range(0x20, 0x7F)))
+    assert qualities.compress(spark.createDataFrame([(0, every)], "seq_id long, qual string")).first()["q8"] == "".join(str(Q.level_of(ord(x))) for x in every)
     assert {r["seq_id"]: (r["len"], r["bits"]) for r in qualities.describe(c).collect()} == {0: (4, 2), 1: (0, 0)}
     assert qualities.read_one(c, 1).count() == 1
 
