@@ -32,6 +32,12 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/strandwise/{what}-{uuid.uuid4().hex}"
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Remove all that these operators have written to the shared folder; for the end of a job."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strandwise")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

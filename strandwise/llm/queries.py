@@ -100,5 +100,14 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+l AS (SELECT a, b FROM c WHERE isfinite(s) AND s >= 0.95),
+r(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.root),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON m.node = v.vec_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_embedding_near_dedup, op4_token_counts, op5_quality_rules, op9_quality_classifier, op6_sharding, op7_mixing, op8_sentencepiece, op10_simhash)}
-ORACLES = {"op7_mixing": OP7_SQL}
+ORACLES = {"op3_embedding_near_dedup": OP3_SQL, "op7_mixing": OP7_SQL}

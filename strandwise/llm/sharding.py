@@ -10,7 +10,7 @@ on the input and the capacity is within one ``RUNS``-th of all bytes of the best
 No group is gathered in a task: positions come from range partitions of single documents, so a group of
 any share of the rows is spread, and its shard follows from the byte position at which the group begins.
 
-Null texts have 8 bytes and form a group with each other; empty texts likewise form one.  Repeated ids
+Null texts count as empty: both have 8 bytes and form one group.  Repeated ids
 and null ids are placed like any other rows.  An empty table gives an empty result.
 """
 
@@ -59,7 +59,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text_col).alias("_hash"),  # with size and crc32: 96 bits and the length
+        F.xxhash64(text).alias("_hash"),  # with size and crc32: 96 bits and the length
     )
     key = ["_hash", "text_crc32", "size"]
     placed = ranked(rows, [*key, "doc_id"], {"_before": "size"}, "shards")

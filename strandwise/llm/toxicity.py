@@ -139,17 +139,20 @@ class Lexicon:
         if not text:
             return []
         low = text.lower()
-        hits = [end + 1 - n for end, n in self.automaton.iter(low) if end == n - 1 or not low[end - n].isalpha()]
-        found, stop = [], -1
-        for at in hits:
-            if at < stop:
-                continue
-            begin = max(low.rfind(c, 0, at) for c in ".!?;:\n") + 1
-            m = CLAUSE.search(low, at)
-            stop = m.start() if m else len(low)
-            weight = self.grammar.weigh([self.symbol(t) for t in TOKEN.findall(low, begin, stop)])
-            if weight > 0:
-                found.append((begin, stop, weight))
+        hits = sorted(end + 1 - n for end, n in self.automaton.iter(low) if end == n - 1 or not low[end - n].isalpha())
+        if not hits:
+            return []
+        found, begin, k = [], 0, 0
+        for stop, after in [*(m.span() for m in CLAUSE.finditer(low)), (len(low), len(low))]:
+            if hits[k] < stop:
+                weight = self.grammar.weigh([self.symbol(t) for t in TOKEN.findall(low, begin, stop)])
+                if weight > 0:
+                    found.append((begin, stop, weight))
+            begin = after
+            while hits[k] < begin:
+                k += 1
+                if k == len(hits):
+                    return found
         return found
 
     def evidence(self, text: str | None) -> float:
@@ -215,8 +218,8 @@ def fit_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
         for f in fs:
             members.setdefault(f, set()).add(k)
     while open_docs and members:
-        # Most newly covered first; among equals the purer, the longer-known and then the shorter feature.
-        best = max(members, key=lambda f: (len(members[f] & open_docs) * (1 - 2 * candidates[f][1] / sum(candidates[f])), f[0] == "=", -len(f), f))
+        # Most newly covered first; among equals whole words before beginnings, and the longest, most specific one.
+        best = max(members, key=lambda f: (len(members[f] & open_docs) * (1 - 2 * candidates[f][1] / sum(candidates[f])), f[0] == "=", len(f), f))
         if len(members[best] & open_docs) < LEAST_SUPPORT:
             break
         t, c = candidates[best]

@@ -54,6 +54,32 @@ def test_stages_take_odd_rows(spark, docs, rows, sf):
     assert frame.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, sf, name):
+    duckdb = pytest.importorskip("duckdb")
+    import os
+
+    import pandas as pd
+
+    db = duckdb.connect()
+    for f in os.listdir(sf):
+        db.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
+    got, want = QUERIES[name](spark, sf).toPandas(), db.sql(ORACLES[name]).df()
+    cols = sorted(want.columns)
+    order = lambda x: x[cols].sort_values(cols).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
+
+
+def test_shared_files_can_be_removed(spark):
+    from strandwise.llm.common import clear_shared, cut
+
+    df = cut(spark.range(3))
+    assert df.count() == 3
+    clear_shared(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        df.count()
+
+
 def test_registered():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
     assert set(ORACLES) <= set(QUERIES)
