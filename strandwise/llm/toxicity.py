@@ -8,8 +8,8 @@ that of its path; single words out of a clause have no weight of their own.  A d
 sum over its clauses, and a two-parameter logistic curve turns it into a score from 0 to 1.
 
 The insult lexicon starts from the words below and is extended from labelled documents: words and word
-beginnings that occur in toxic documents almost only, chosen greedily by the toxic documents that they
-newly cover.  Labels come from about ``TRAIN_ROWS`` documents at most; near copies (equal minimum hash of
+beginnings that occur (once, or in two different words) in toxic documents almost only, chosen greedily
+by the toxic documents that they newly cover.  Labels come from about ``TRAIN_ROWS`` documents at most; near copies (equal minimum hash of
 word shingles) count once.
 
 Null and empty texts have no clauses, hence the curve's lowest score.  Without usable labels the word
@@ -34,7 +34,9 @@ from .common import cut, labelled_sample
 TRAIN_ROWS = 12_000
 LEAST_SUPPORT = 4
 LEAST_PRECISION = 0.95
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7)
+#: Share of its weight that a beginning has which tells toxic documents only if two words have it.
+WEAK = 0.35
 
 #: Word lists of the grammar by class, in four languages.
 CLASSES = {
@@ -129,9 +131,9 @@ class Lexicon:
     def symbol(self, token: str) -> tuple[str, float]:
         if (w := self.words.get(token)) is not None:
             return "insult", w
-        for n in self.lengths:
-            if len(token) >= n and (w := self.stems.get(token[:n])) is not None:
-                return "insult", w
+        known = [self.stems[token[:n]] for n in self.lengths if token[:n] in self.stems and len(token) > n]
+        if known:
+            return "insult", max(known)
         return ("quote" if token in QUOTES else CLASS_OF.get(token, "other")), 0.0
 
     def clauses(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -160,11 +162,13 @@ class Lexicon:
 
 
 def features(text: str | None) -> set[str]:
-    """Distinct words ("=" before) and word beginnings ("^" before) of a text."""
+    """Distinct words ("=" before), word beginnings ("^") and beginnings of two or more distinct words ("2") of a text."""
     words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
     out = {"=" + w for w in words if 3 <= len(w) <= 40}
     for n in STEMS:
-        out |= {"^" + w[:n] for w in words if len(w) > n}
+        stems = Counter(w[:n] for w in words if len(w) > n)
+        out.update("^" + s for s in stems)
+        out.update("2" + s for s, c in stems.items() if c > 1)
     return out
 
 
@@ -224,7 +228,10 @@ def fit_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
             break
         t, c = candidates[best]
         weight = float(np.clip(np.log((t + 0.5) / (c + 0.5) * (totals[False] + 1) / (totals[True] + 1)) / 2, 1.0, 4.0))
-        (words if best[0] == "=" else stems)[best[1:]] = weight
+        if best[0] == "=":
+            words[best[1:]] = weight
+        else:
+            stems[best[1:]] = max(stems.get(best[1:], 0.0), weight * (WEAK if best[0] == "2" else 1.0))
         open_docs -= members.pop(best)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
