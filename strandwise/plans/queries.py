@@ -112,6 +112,10 @@ def _(spark, sf):
     return text.select(F.from_json("value", "kmer_size int, sketch_size int, algo string, data_type string").alias("p")).select("p.*")
 
 
+def count_sql(k: int, tail: str = "") -> str:
+    return with_(S.D, S.k_cte(k, True), "c AS (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer)") + (tail or "SELECT kmer, cnt FROM c")
+
+
 # --- sinks, as the tables that they write ----------------------------------------------------------------
 
 
@@ -120,6 +124,44 @@ def _(spark, sf):
     return C.repeated(C.kmer_counts(seqs(spark, sf), 8))
 
 
+@query("sink_multi_seq", count_sql(9, "SELECT kmer, cnt FROM c WHERE cnt >= 2"))
+def _(spark, sf):
+    return C.repeated(C.kmer_counts(seqs(spark, sf), 9))
+
+
+@query("sink_multi_pool", count_sql(13, "SELECT kmer, cnt FROM c WHERE cnt >= 2"))
+def _(spark, sf):
+    return C.repeated(C.partitioned_counts(seqs(spark, sf), 13, 8))
+
+
+@query("sink_multi_fn", count_sql(14, "SELECT kmer, least(cnt, 255) AS cnt FROM c WHERE cnt >= 2"))
+def _(spark, sf):
+    return C.repeated(C.kmer_counts(seqs(spark, sf), 14, counter_bits=8))
+
+
+@query("sink_multi_thr", count_sql(16, "SELECT kmer, cnt FROM c WHERE cnt >= 2"))
+def _(spark, sf):
+    return C.repeated(C.partitioned_counts(seqs(spark, sf), 16, 16))
+
+
+@query("sink_sig")
+def _(spark, sf):
+    # As stored: one row for each sequence, with the parameters beside it.
+    p = SK.SketchParams(8, 32, "PROB3A")
+    return SK.sketch(seqs(spark, sf), p).select("seq_id", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("sig"), F.lit(p.to_json()).alias("params"))
+
+
+@query("sink_blocksig")
+def _(spark, sf):
+    return SK.block_sketch(seqs(spark, sf), 8, 8, 200).select("seq_id", "block_no", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("sig"))
+
+
+@query("src_blocksig")
+def _(spark, sf):
+    stored = SK.block_sketch(seqs(spark, sf), 8, 8, 200)
+    return stored.groupBy("seq_id").agg(F.count("*").alias("n_blocks"), F.max(F.size("sig")).alias("slots"))
+
+
 @query("sink_once", with_(S.D, S.k_cte(10, True)) + "SELECT kmer, min(seq_id) AS seq_id, min(pos) AS pos FROM k GROUP BY kmer HAVING count(*) = 1")
 def _(spark, sf):
     return C.unique_kmers(seqs(spark, sf), 10)
@@ -324,6 +366,11 @@ def _(spark, sf):
     return ST.base_counts(seqs(spark, sf).filter("seq IS NOT NULL"))
 
 
+@query("aa_new", "SELECT doc_id AS seq_id, text AS seq, length(text) AS n FROM documents")
+def _(spark, sf):
+    return docs(spark, sf).select(F.col("doc_id").alias("seq_id"), F.col("text").alias("seq"), F.length("text").alias("n"))
+
+
 @query("aa_filtered", with_(S.AA) + "SELECT seq_id, seq FROM d")
 def _(spark, sf):
     return amino_acids(docs(spark, sf))
@@ -507,10 +554,6 @@ def _(spark, sf):
 # --- counting --------------------------------------------------------------------------------------------
 
 
-def count_sql(k: int, tail: str = "") -> str:
-    return with_(S.D, S.k_cte(k, True), "c AS (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer)") + (tail or "SELECT kmer, cnt FROM c")
-
-
 for _name, _k in (("cnt_insert", 9), ("cnt_kmer16", 16), ("cnt_kmer32", 11), ("cnt_kmer64", 25), ("cnt_one_to_many", 13)):
 
     @query(_name, count_sql(_k))
@@ -635,6 +678,17 @@ def _(spark, sf):
     return ST.out_of_range(docs(spark, sf), 5000, "text")
 
 
+@query("stat_out", "SELECT coalesce(sum((length(text) > 2000)::INT), 0)::BIGINT AS too_long FROM documents")
+def _(spark, sf):
+    return ST.out_of_range(docs(spark, sf), 2000, "text").select("too_long")
+
+
+@query("sink_params", "SELECT 12::BIGINT AS kmer_size, 64::BIGINT AS sketch_size, 'SUPER' AS algo, 'AA' AS data_type")
+def _(spark, sf):
+    text = spark.createDataFrame([(SK.SketchParams(12, 64, "SUPER", "AA").to_json(),)], "value string")
+    return text.select(F.from_json("value", "kmer_size int, sketch_size int, algo string, data_type string").alias("p")).select("p.*")
+
+
 @query("sink_readlen", LENGTHS)
 def _(spark, sf):
     return ST.read_lengths(seqs(spark, sf)).orderBy("len")

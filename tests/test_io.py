@@ -110,3 +110,14 @@ def test_streaming_counts(spark, tmp_path):
     got = {r["kmer"]: r["cnt"] for r in spark.table("kmer_stream").collect()}
     want = counting.kmer_counts(seqs(spark, "ACGTACGT", "TTACGT"), 4)
     assert got == {r["kmer"]: r["cnt"] for r in want.collect()}
+
+
+def test_command_line(spark, tmp_path):
+    from strandwise.__main__ import parser, run
+
+    (tmp_path / "r.fq").write_text("".join(f"@r{k}\n{S80}\n+\n{'I' * 80}\n" for k in range(3)))
+    for words in ("stats", "count -k 12", "unique -k 12", "sketch -k 8 -s 16 --neighbours 3", "sketch -k 8 -s 16 -b 20", "sketch -k 4 -s 16 --data AA --algo SUPER", "anchors -k 8 -w 50 --overlap 10 -n 4", "quality"):
+        what, *rest = words.split()
+        run(spark, parser().parse_args([what, "-f", str(tmp_path / "r.fq"), "-o", str(tmp_path / "out" / words.replace(" ", "_")), *rest]))
+    assert spark.read.parquet(str(tmp_path / "out/count_-k_12")).filter("cnt < 3").count() == 0
+    assert {r["q8"] for r in spark.read.parquet(str(tmp_path / "out/quality")).collect()} == {"7" * 80}
