@@ -72,6 +72,13 @@ def ranked(df: DataFrame, order: list[str], sums: dict[str, str], what: str = "r
     return out.select(*df.columns, *[v.alias(k) for k, v in shifted.items()])
 
 
+def slices(batches, rows: int = 400):
+    """Arrow batches a few rows at a time, so that a worker holds the Python objects of few texts at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of the id as text, modulo ``mod``: the fold of a document (a null id is in fold 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0)).cast("int")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -77,7 +77,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = ["doc_id", "lang", "source", *BASE, *STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             c = np.array([text_counts(t) for t in batch.column(3).to_pylist()], np.int64).reshape(-1, 8)
             x = statistics(c)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c[:, k]) for k in range(5)], *[pa.array(x[:, k]) for k in range(len(STATS))]], names=names)

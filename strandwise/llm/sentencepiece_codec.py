@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPACE = "▁"
 #: Bound on remembered words in each of a worker's two generations (four times that for pairs).
 REMEMBERED = 150_000
@@ -187,9 +189,8 @@ def token_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
-        for batch in batches:
-            got = [c.digest(t) for t in batch.column(1).to_pylist()]
-            n, ids, raw = zip(*got) if got else ((), (), ())
+        for batch in slices(batches):
+            n, ids, raw = zip(*[c.digest(t) for t in batch.column(1).to_pylist()], strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

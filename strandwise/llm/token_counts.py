@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Texts are handed to the tokenizer whole; results are passed on after so many sections.
 SECTIONS = 50_000
 
@@ -88,7 +90,7 @@ def section_token_counts(docs: DataFrame, rank_file: str, pattern: str, id_col:
             _encoders[key] = Encoder(*key)
         encoder = _encoders[key]
         names = ["doc_id", "section", "begin_char", "n_chars", "n_tokens"]
-        for b in batches:
+        for b in slices(batches):
             held: list[tuple] = []
             rows: list[int] = []
             size = 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, labelled_sample
+from .common import cut, labelled_sample, slices
 
 #: Bound on labelled documents that the lexicon and the curve are fitted on.
 TRAIN_ROWS = 12_000
@@ -182,7 +182,7 @@ def _copy_key(text: str | None) -> int:
 
 def _with_copy_key(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_copy_key(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "text", "y", "copy"])
 
     return sample.select("doc_id", "text", "y").mapInArrow(run, sample.select("doc_id", "text", "y").schema.simpleString()[7:-1] + ",copy:bigint")
@@ -195,7 +195,7 @@ def fit_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
     first = cut(first, "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             seen = (Counter(), Counter())
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[int(y > 0)].update(features(t))
@@ -212,7 +212,7 @@ def fit_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
     candidates = {r["f"]: (r["toxic"], r["clean"]) for r in good.orderBy(F.desc("toxic"), "f").limit(20_000).collect()}  # features, not documents
 
     def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(features(t) & candidates.keys()) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["f"])
 
     toxic = [set(r["f"]) for r in first.filter("y > 0").mapInArrow(which, "f array<string>").toLocalIterator()]  # at most TRAIN_ROWS short lists
@@ -236,7 +236,7 @@ def fit_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(words, stems)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lex.evidence(t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["e", "y"])
 
     got = first.select("text", "y").mapInArrow(evidence, "e double, y int").toPandas()  # two numbers for each of at most TRAIN_ROWS documents
@@ -266,7 +266,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(words, stems)
-        for b in batches:
+        for b in slices(batches):
             found = [lex.clauses(t) for t in b.column(1).to_pylist()]
             e = np.array([sum(w for _, _, w in c) for c in found], float)
             score = 1 / (1 + np.exp(-np.clip(bias + gain * np.minimum(e, 8.0), -30, 30)))
