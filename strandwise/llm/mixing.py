@@ -2,7 +2,8 @@
 
 Words are totalled per source; each source's target divided by its total is its repetition rate, and
 every document is taken floor(rate) times plus once more with probability equal to the fraction, decided
-by an md5 of seed and id, so that a rerun takes the same copies.
+by an md5 of seed and id, so that a rerun takes the same copies.  Each source uses the one of ``SEEDS`` seeds
+whose copies come nearest to its target, which steadies sources of few documents.
 
 Sources are ordered by code point with the null source last and weigh ``weights`` in turn.  Together they
 get ``share`` of all words; a target stops at ``limit`` times its source's words and what is over goes to
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, ranked
 
+#: Seeds that each source chooses from (a multiple of four).
+SEEDS = 8
+
 
 def n_words(text_col: str = "text"):
     """Number of words of a text, 0 for null, on the JVM."""
@@ -27,14 +31,26 @@ def n_words(text_col: str = "text"):
     return F.length(F.translate(gaps, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def _copies(id_col: str, target: str, size: str, seed: int):
-    """floor(rate), and one more if the id's coin, a 32-bit fraction, is below the rest."""
+def _coins(id_col: str, seed: int) -> list:
+    """``SEEDS`` independent 32-bit fractions of an id: the quarters of md5 digests."""
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    digest = [F.md5(F.concat(F.lit(f"{seed + k}:"), text).cast("binary")) for k in range(SEEDS // 4)]
+    return [F.conv(F.substring(digest[k // 4], 8 * (k % 4) + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0) for k in range(SEEDS)]
+
+
+def _copies(coin, target: str, size: str):
+    """floor(rate), and one more if the coin is below the rest."""
     rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(F.lit(0.0))
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    coin = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     return (F.floor(rate) + (coin < rate - F.floor(rate)).cast("int")).cast("long")
 
 
+def _picked(coins: list, pick: str):
+    out = coins[0]
+    for k, c in enumerate(coins[1:], 1):
+        out = F.when(F.col(pick) == k, c).otherwise(out)
+    return out
+
+
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
@@ -59,23 +75,36 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     )
 
 
-def _targets(docs: DataFrame, text_col: str, source_col: str, **how) -> DataFrame:
-    totals = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(n_words(text_col)).alias("source_size"))
-    return source_targets(totals, **how).select(F.col("source").alias("_source"), "source_size", "target")
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")), "sizes")
+
+
+def mix_plan(sized: DataFrame, seed: int, **how) -> DataFrame:
+    """(_source, source_size, target, pick): each source's target, and which seed's coins it uses.
+
+    Of ``SEEDS`` seeds a source takes the one whose copies come nearest to its target.
+    """
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = cut(source_targets(totals, **how).withColumnRenamed("source", "_source"), "targets")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+    sums = [F.sum(F.col("size") * _copies(c, "target", "source_size")).alias(f"_t{k}") for k, c in enumerate(_coins("doc_id", seed))]
+    tried = joined.groupBy("_source", "source_size", "target").agg(*sums)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("target")), F.lit(k).alias("k")) for k in range(SEEDS)]))
+    return cut(tried.select("_source", "source_size", "target", best["k"].alias("pick")), "plan")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240531, **how) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row: ``copies`` is how often the mix takes it."""
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = source_targets(totals, **how).select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(t, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", _copies("doc_id", "target", "source_size", seed).alias("copies"))
+    sized = _sizes(docs, id_col, text_col, source_col)
+    joined = sized.join(mix_plan(sized, seed, **how), F.col("source").eqNullSafe(F.col("_source")))
+    coin = _picked(_coins("doc_id", seed), "pick")
+    return joined.select("doc_id", "source", "size", "source_size", "target", _copies(coin, "target", "source_size").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240531, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    t = _targets(docs, text_col, source_col, **how)
+    plan = mix_plan(_sizes(docs, id_col, text_col, source_col), seed, **how)
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_own"))
-    taken = rows.join(t, F.col("_own").eqNullSafe(F.col("_source"))).withColumn("_copies", _copies("_id", "target", "source_size", seed).cast("int"))
+    coin = _picked(_coins("_id", seed), "pick")
+    taken = rows.join(plan, F.col("_own").eqNullSafe(F.col("_source"))).withColumn("_copies", _copies(coin, "target", "source_size").cast("int"))
     return taken.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
