@@ -46,7 +46,7 @@ def is_valid(base: Column, alphabet: int | str = 2) -> Column:
 
 def keep_acgt(s: Column) -> Column:
     """Upper-case A, C, G and T of a text; every other character is dropped."""
-    return F.regexp_replace(F.translate(s, "acgt", "ACGT"), "[^ACGT]+", "")
+    return F.translate(F.regexp_replace(s, "[^ACGTacgt]+", ""), "acgt", "ACGT")
 
 
 def keep_amino_acids(s: Column) -> Column:
