@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,6 +75,72 @@ def minhash_distance(sketches: DataFrame, query: DataFrame, size: int) -> DataFr
     return out.select("seq_id", F.when(F.col("n_mine") > 0, F.col("common") / F.col("n_mine")).otherwise(F.lit(0.0)).alias("containment"), (F.col("common") / F.col("total")).alias("jaccard"), "common", "total")
 
 
+#: Signatures of a block of an exact comparison, so that a task holds two blocks at a time.
+BLOCK = 1 << 15
+
+
+def blocks_for(n: int) -> int:
+    """Number of blocks for ``n`` signatures; from 8 on, each holds about ``BLOCK`` of them."""
+    return max(8, -(-n // BLOCK))
+
+
+def _nearest_in(query: np.ndarray, base: np.ndarray, top: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, base row, equal slots) of the ``top`` base rows of each query row with an equal slot; on a tie the first."""
+    n, m = base.shape
+    order = np.argsort(base, axis=0, kind="stable")
+    begin, end = np.empty(query.shape, np.int64), np.empty(query.shape, np.int64)
+    for j in range(m):
+        values = base[order[:, j], j]
+        begin[:, j], end[:, j] = np.searchsorted(values, query[:, j], "left") + j * n, np.searchsorted(values, query[:, j], "right") + j * n
+    postings = np.ascontiguousarray(order.T).ravel()
+    at, to, equal = [], [], []
+    for i in range(len(query)):
+        hits = [postings[x:y] for x, y in zip(begin[i].tolist(), end[i].tolist(), strict=True) if x < y]
+        if not hits:
+            continue
+        count = np.bincount(np.concatenate(hits), minlength=n)
+        if same:
+            count[i] = 0
+        upwards = np.bincount(count, minlength=m + 1)[:0:-1].cumsum()[::-1]  # rows with at least 1, 2, ... equal slots
+        least = max(1, int(np.count_nonzero(upwards >= top)))
+        over = np.flatnonzero(count > least)
+        pick = np.concatenate([over, np.flatnonzero(count == least)[: top - len(over)]])
+        at.append(np.full(len(pick), i))
+        to.append(pick)
+        equal.append(count[pick])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, to, equal))
+
+
+def nearest(sigs: DataFrame, top: int, id_col: str = "seq_id", blocks: int = 8) -> DataFrame:
+    """(a, b, sim, rank): the ``top`` most similar partners of each signature among all that agree in a slot.
+
+    Exact: classes are dealt to ``blocks`` blocks and every pair of blocks is compared in one task, by lists of
+    the rows with each value of a slot, which gives each block's best partners in the other.  A row is sent
+    ``blocks`` times.  Equal signatures are compared once, as one class named by its least id; partners are classes.
+    """
+    classes = sigs.groupBy("sig").agg(F.min(id_col).alias("id"))
+    dealt = classes.select("id", "sig", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = dealt.select("id", "sig", "block", (F.least("block", "other") * blocks + F.greatest("block", "other")).alias("part"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, block = rows.column("id"), rows.column("block").to_numpy()
+        sig = rows.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        low, high = divmod(key[0].as_py(), blocks)
+        x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        out = []
+        if len(x) and len(y):
+            for q, b in [(x, y)] if low == high else [(x, y), (y, x)]:
+                at, to, equal = _nearest_in(sig[q], sig[b], top, low == high)
+                out.append(pa.table({"a": ids.take(pa.array(q[at])), "b": ids.take(pa.array(b[to])), "sim": pa.array(equal / sig.shape[1])}))
+        return pa.concat_tables(out) if out else pa.table({"a": ids[:0], "b": ids[:0], "sim": pa.array([], pa.float64())})
+
+    kind = sigs.schema[id_col].dataType.simpleString()
+    found = dealt.groupBy("part").applyInArrow(run, f"a {kind}, b {kind}, sim double")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b")))
+    return ranked.filter(F.col("rank") <= top)
+
+
 def neighbours(sigs: DataFrame, bands: int, top: int, id_col: str = "seq_id") -> DataFrame:
     """(a, b, sim, rank): the ``top`` most similar partners of each signature among band matches.
 
