@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import checkpointed
+
 
 def slot_similarity(a: Column, b: Column) -> Column:
     """Share of equal slots of two signatures."""
@@ -141,6 +143,22 @@ def nearest(sigs: DataFrame, top: int, id_col: str = "seq_id", blocks: int = 8)
     return ranked.filter(F.col("rank") <= top)
 
 
+def memberships(sigs: DataFrame, id_col: str = "seq_id") -> DataFrame:
+    """(id, class): of each signature, the least id with an equal one."""
+    named = sigs.groupBy("sig").agg(F.min(id_col).alias("class"))
+    return sigs.select(F.col(id_col).alias("id"), "sig").join(named, "sig").select("id", "class")
+
+
+def nearest_with_members(sigs: DataFrame, top: int, id_col: str = "seq_id", blocks: int = 8) -> DataFrame:
+    """``nearest``, and for each signature one row of rank 0 and similarity 1 from its id to its class.
+
+    The signatures are made once and kept in the shared folder.
+    """
+    sigs = checkpointed(sigs)
+    member = memberships(sigs, id_col).select(F.col("id").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("sim"), F.lit(0).alias("rank"))
+    return nearest(sigs, top, id_col, blocks).union(member)
+
+
 def neighbours(sigs: DataFrame, bands: int, top: int, id_col: str = "seq_id") -> DataFrame:
     """(a, b, sim, rank): the ``top`` most similar partners of each signature among band matches.
 

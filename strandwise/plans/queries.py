@@ -933,12 +933,12 @@ def _(spark, sf):
 
 @query("ann_build")
 def _(spark, sf):
-    return SI.nearest(SK.sketch(seqs(spark, sf), SK.SketchParams(12, 64, "PROB3A")), 10, blocks=SI.blocks_for(docs(spark, sf).count()))
+    return SI.nearest_with_members(SK.sketch(seqs(spark, sf), SK.SketchParams(12, 64, "PROB3A")), 10, blocks=SI.blocks_for(docs(spark, sf).count()))
 
 
 @query("sink_hnsw")
 def _(spark, sf):
-    near = SI.nearest(SK.sketch(seqs(spark, sf), SK.SketchParams(14, 64, "PROB3A")), 5, blocks=SI.blocks_for(docs(spark, sf).count()))
+    near = SI.nearest_with_members(SK.sketch(seqs(spark, sf), SK.SketchParams(14, 64, "PROB3A")), 5, blocks=SI.blocks_for(docs(spark, sf).count()))
     return near.select("a", "b", (1 - F.col("sim")).alias("dist"))
 
 

@@ -33,3 +33,11 @@ def test_neighbours_against_brute_force(spark, sf, name, k, top):
     want = brute(classes(spark, sf, k), top)
     assert len(want) > 500 and len(set(want) & set(got)) >= 0.9 * len(want)
     assert all(got[p] == pytest.approx(want[p]) for p in set(want) & set(got))
+
+
+@pytest.mark.parametrize("name,k", [("ann_build", 12), ("sink_hnsw", 14)])
+def test_every_copy_is_linked_to_its_class(spark, sf, name, k):
+    groups = classes(spark, sf, k).values()
+    got = QUERIES[name](spark, sf).filter("rank = 0" if name == "ann_build" else "dist = 0").collect()
+    assert any(len(v) > 1 for v in groups)
+    assert sorted((r["a"], r["b"]) for r in got) == sorted((i, min(v)) for v in groups for i in v)
