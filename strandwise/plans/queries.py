@@ -590,6 +590,17 @@ def _(spark, sf):
     return C.lookup(probes(spark, sf), C.kmer_counts(seqs(spark, sf).filter("seq_id % 2 = 0"), 11))
 
 
+ALL_PROBES = PROBE + ", o AS (SELECT kmer FROM q UNION SELECT " + S.canon("kmer") + " FROM (SELECT substr(kmer, 2) || 'G' AS kmer FROM q UNION ALL SELECT reverse(kmer) FROM q))"
+
+
+@query("cnt_get_all", with_(S.D, S.k_cte(11, True), "c AS (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer)", ALL_PROBES) + "SELECT kmer, coalesce(cnt, 0) AS cnt FROM o LEFT JOIN c USING (kmer)")
+def _(spark, sf):
+    # The counter holds all sequences; probes that may be absent come from a pushed base and from reading backwards.
+    first = probes(spark, sf)
+    other = first.select(F.explode(F.array(A.push(F.col("kmer"), F.lit("G")), F.reverse("kmer"))).alias("kmer"))
+    return C.lookup(first.union(other.select(A.canonical(F.col("kmer")).alias("kmer"))).distinct(), C.kmer_counts(seqs(spark, sf), 11))
+
+
 @query("cnt_above2", count_sql(11, "SELECT kmer, CASE WHEN cnt >= 2 THEN cnt ELSE 0 END AS cnt FROM c"))
 def _(spark, sf):
     return C.above_two(C.kmer_counts(seqs(spark, sf), 11))

@@ -1,5 +1,7 @@
 """Queries do the whole job: results against brute force over every sequence or pair."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -41,3 +43,15 @@ def test_every_copy_is_linked_to_its_class(spark, sf, name, k):
     got = QUERIES[name](spark, sf).filter("rank = 0" if name == "ann_build" else "dist = 0").collect()
     assert any(len(v) > 1 for v in groups)
     assert sorted((r["a"], r["b"]) for r in got) == sorted((i, min(v)) for v in groups for i in v)
+
+
+def rc(x):
+    return x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_counts_cover_every_sequence(spark, sf):
+    texts = [r["seq"] or "" for r in seqs(spark, sf).collect()]
+    count = Counter(min(w, rc(w)) for t in texts for w in (t[i : i + 11] for i in range(len(t) - 10)))
+    got = {r["kmer"]: r["cnt"] for r in QUERIES["cnt_get_all"](spark, sf).collect()}
+    assert {min(t[:11], rc(t[:11])) for t in texts if len(t) >= 11} <= set(got) and 0 in got.values()
+    assert got == {k: count[k] for k in got}
