@@ -52,6 +52,22 @@ def kmers(seqs: DataFrame, k: int, canonical: bool = False, begin: int = 0, end:
     return out.select("seq_id", *keep, (F.col("_chunk") * CHUNK + F.col("_pos") + begin).alias("pos"), "kmer")
 
 
+def bases(seqs: DataFrame) -> DataFrame:
+    """(seq_id, pos, base, back): every base of each sequence, and the one as far from its end.
+
+    Long sequences are cut into chunks, each with the mirrored part of the sequence.
+    """
+    raw, n = F.encode("seq", "UTF-8"), F.length("seq")
+    chunks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)), lambda p: F.struct(
+        F.substring(raw, p + 1, F.lit(CHUNK)).cast("string").alias("f"),
+        F.reverse(F.substring(raw, F.greatest(n - p - CHUNK, F.lit(0)) + 1, F.least(n - p, F.lit(CHUNK))).cast("string")).alias("b"),
+    ))
+    rows = spread(seqs.select("seq_id", "seq")).filter(n > 0).select("seq_id", F.posexplode(chunks).alias("_chunk", "_part"))
+    letters = lambda s: F.regexp_extract_all(s, F.lit("(.)"), F.lit(1))
+    out = rows.select("seq_id", "_chunk", F.posexplode(F.arrays_zip(letters(F.col("_part.f")).alias("base"), letters(F.col("_part.b")).alias("back"))).alias("_pos", "_at"))
+    return out.select("seq_id", (F.col("_chunk") * CHUNK + F.col("_pos")).alias("pos"), F.col("_at.base").alias("base"), F.col("_at.back").alias("back"))
+
+
 def kmer_range(seqs: DataFrame, k: int, begin: int, end: int, canonical: bool = False) -> DataFrame:
     """k-mers that lie fully in [begin, end); ``begin`` must be below ``end``."""
     if begin >= end:

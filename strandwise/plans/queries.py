@@ -356,6 +356,11 @@ def _(spark, sf):
     return rows.select("seq_id", (F.col("i") + 5).alias("pos"), F.col("part").substr(F.col("i") + 1, F.lit(1)).alias("base"), F.reverse("part").substr(F.col("i") + 1, F.lit(1)).alias("back"))
 
 
+@query("seq_iter_all", with_(S.D) + "SELECT seq_id, i AS pos, substr(seq, (i + 1)::INT, 1) AS base, substr(seq, (length(seq) - i)::INT, 1) AS back FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS i FROM d)")
+def _(spark, sf):
+    return K.bases(seqs(spark, sf))
+
+
 @query("seq_revcomp", with_(S.D) + f"SELECT seq_id, {S.rc('seq')} AS rc FROM d")
 def _(spark, sf):
     return seqs(spark, sf).select("seq_id", A.reverse_complement(F.col("seq")).alias("rc"))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from strandwise.operators import kmers as K
 from strandwise.operators import sketch as SK
 from strandwise.plans.queries import QUERIES, seqs
 
@@ -55,3 +56,19 @@ def test_counts_cover_every_sequence(spark, sf):
     got = {r["kmer"]: r["cnt"] for r in QUERIES["cnt_get_all"](spark, sf).collect()}
     assert {min(t[:11], rc(t[:11])) for t in texts if len(t) >= 11} <= set(got) and 0 in got.values()
     assert got == {k: count[k] for k in got}
+
+
+def test_every_base_is_iterated(spark, sf):
+    want = {(r["seq_id"], i, c, r["seq"][-1 - i]) for r in seqs(spark, sf).collect() for i, c in enumerate(r["seq"] or "")}
+    got = [tuple(r) for r in QUERIES["seq_iter_all"](spark, sf).select("seq_id", "pos", "base", "back").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_bases_of_chunks(spark):
+    texts = ["ACGGT" * 40_000 + "T", "ACGT" * (K.CHUNK // 4), "", "G"]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    rows = K.bases(df).orderBy("seq_id", "pos").collect()
+    for i, t in enumerate(texts):
+        own = [r for r in rows if r["seq_id"] == i]
+        assert [r["pos"] for r in own] == list(range(len(t)))
+        assert "".join(r["base"] for r in own) == t and "".join(r["back"] for r in own) == t[::-1]
