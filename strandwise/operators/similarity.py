@@ -77,6 +77,28 @@ def minhash_distance(sketches: DataFrame, query: DataFrame, size: int) -> DataFr
     return out.select("seq_id", F.when(F.col("n_mine") > 0, F.col("common") / F.col("n_mine")).otherwise(F.lit(0.0)).alias("containment"), (F.col("common") / F.col("total")).alias("jaccard"), "common", "total")
 
 
+def agreements(rows: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(a_key, b_key, slot, value) for each slot in which two signatures (keys, slot, value) agree, with a before b.
+
+    The inner join on (slot, value); pairs without an equal slot have no row.
+    """
+    one = rows.select(*[F.col(c).alias(f"a_{c}") for c in keys], "slot", "value")
+    two = rows.select(*[F.col(c).alias(f"b_{c}") for c in keys], "slot", "value")
+    return one.join(two, ["slot", "value"]).filter(F.struct(*[f"a_{c}" for c in keys]) < F.struct(*[f"b_{c}" for c in keys]))
+
+
+def slot_agreements(sigs: DataFrame, id_col: str = "seq_id") -> DataFrame:
+    """(a, b, slot, value) of all pairs of classes of equal signatures, and of each class with its other members.
+
+    A class is named by its least id; what holds for it holds for its members, so copies cost no pairs of their own.
+    """
+    sigs = checkpointed(sigs)
+    classes = sigs.groupBy("sig").agg(F.min(id_col).alias("id"))
+    pairs = agreements(classes.select("id", F.posexplode("sig").alias("slot", "value"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "slot", "value")
+    copies = sigs.select(F.col(id_col).alias("b"), "sig").join(classes.withColumnRenamed("id", "a"), "sig").filter("a <> b")
+    return pairs.union(copies.select("a", "b", F.posexplode("sig").alias("slot", "value")))
+
+
 #: Signatures of a block of an exact comparison, so that a task holds two blocks at a time.
 BLOCK = 1 << 15
 

@@ -917,6 +917,50 @@ def _(spark, sf):
     return b.join(nxt, ["seq_id", "block_no"]).select("seq_id", "block_no", SI.block_distance(F.col("seq_id"), F.col("seq_id") + 1, F.col("sig"), F.col("sig_b")).alias("dist"))
 
 
+# The pair forms over all sequences: equal signatures are one class named by its least id, compared with all
+# other classes, and its other members are paired with it.
+PAIRS = SLOTS.split(", n AS (")[0] + (
+    ", g AS (SELECT seq_id, string_agg(value::VARCHAR, ',' ORDER BY slot) AS sig FROM v GROUP BY seq_id), h AS (SELECT seq_id, min(seq_id) OVER (PARTITION BY sig) AS class FROM g)"
+    ", e AS (SELECT x.seq_id AS a, y.seq_id AS b, x.slot, x.value FROM v x JOIN v y ON x.slot = y.slot AND x.value = y.value AND x.seq_id < y.seq_id JOIN h hx ON hx.seq_id = x.seq_id JOIN h hy ON hy.seq_id = y.seq_id"
+    " WHERE (hx.class = x.seq_id AND hy.class = y.seq_id) OR hy.class = x.seq_id) "
+)
+
+
+def slot_pairs(spark, sf):
+    v = SK.race(K.kmer_weights(seqs(spark, sf), 6, True), 8)
+    sig = v.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda x: x["value"]).alias("sig"))
+    return SI.slot_agreements(sig)
+
+
+@query("sim_slots_all", PAIRS + "SELECT a, b, count(*) / 8.0::DOUBLE AS sim FROM e GROUP BY a, b")
+def _(spark, sf):
+    return slot_pairs(spark, sf).groupBy("a", "b").agg((F.count("*") / 8).alias("sim"))
+
+
+@query("sim_objects_all", PAIRS + "SELECT a, b, slot, value FROM e")
+def _(spark, sf):
+    return slot_pairs(spark, sf)
+
+
+@query("set_intersect_sig_all", PAIRS + "SELECT a, b, count(*) AS n_common FROM e GROUP BY a, b")
+def _(spark, sf):
+    return slot_pairs(spark, sf).groupBy("a", "b").agg(F.count("*").alias("n_common"))
+
+
+@query("dist_hamming_all", PAIRS + "SELECT a, b, 1 - count(*) / 8.0::DOUBLE AS dist FROM e GROUP BY a, b")
+def _(spark, sf):
+    # Pairs without a row have distance 1.
+    return slot_pairs(spark, sf).groupBy("a", "b").agg((1 - F.count("*") / 8).alias("dist"))
+
+
+@query("dist_block_all")
+def _(spark, sf):
+    # All pairs of blocks; those without a row, as all of one sequence, have distance 1.
+    rows = SK.block_sketch(seqs(spark, sf), 8, 16, 100).select("seq_id", "block_no", F.posexplode("sig").alias("slot", "value"))
+    met = SI.agreements(rows, ("seq_id", "block_no")).filter("a_seq_id <> b_seq_id")
+    return met.groupBy("a_seq_id", "a_block_no", "b_seq_id", "b_block_no").agg((1 - F.count("*") / 16).alias("dist"))
+
+
 DIST_SQL = bottom_sql(8, 30, tail="")[:-1] + (
     ", p AS (SELECT 0 AS seq_id, '" + PROBE_SEQ + "' AS seq), " + S.k_cte(8, True, src="p", name="pk") + ", ph AS (SELECT DISTINCT h AS hash FROM " + S.inv32(f"(SELECT {S.code('kmer', 8)} AS code FROM pk)", "code") + " ORDER BY hash LIMIT 30)"
     ", un AS (SELECT seq_id, hash, 1 AS mine, 0 AS its FROM b UNION ALL SELECT i.seq_id, ph.hash, 0, 1 FROM (SELECT DISTINCT seq_id FROM b) i, ph)"

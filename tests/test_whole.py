@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from strandwise.operators import kmers as K
+from strandwise.operators import similarity as SI
 from strandwise.operators import sketch as SK
 from strandwise.plans.queries import QUERIES, seqs
 
@@ -72,3 +73,23 @@ def test_bases_of_chunks(spark):
         own = [r for r in rows if r["seq_id"] == i]
         assert [r["pos"] for r in own] == list(range(len(t)))
         assert "".join(r["base"] for r in own) == t and "".join(r["back"] for r in own) == t[::-1]
+
+
+def test_pairs_do_not_depend_on_the_order_of_ids(spark):
+    sigs = {2: [1, 2, 3, 4], 9: [1, 2, 3, 4], 5: [1, 2, 7, 8], 40: [0, 2, 7, 7], 77: [9, 9, 9, 9]}
+    df = spark.createDataFrame(list(sigs.items()), "seq_id long, sig array<long>")
+    got = {tuple(r) for r in SI.slot_agreements(df).select("a", "b", "slot", "value").collect()}
+    assert got == {(a, b, s, x) for a, b in [(2, 5), (2, 40), (5, 40), (2, 9)] for s, (x, y) in enumerate(zip(sigs[a], sigs[b], strict=True)) if x == y}
+
+
+def test_block_distances_of_all_pairs(spark, sf):
+    sig = [(r["seq_id"], r["block_no"], np.array(r["sig"])) for r in SK.block_sketch(seqs(spark, sf), 8, 16, 100).collect()]
+    every = np.array([s for _, _, s in sig])
+    n = {}
+    for q, i, s in sig[::50]:
+        for j in np.flatnonzero((every == s).any(axis=1)):
+            if sig[j][0] != q:
+                n[frozenset([(q, i), sig[j][:2]])] = 1 - (every[j] == s).mean()
+    got = {frozenset([(r[0], r[1]), (r[2], r[3])]): r[4] for r in QUERIES["dist_block_all"](spark, sf).collect()}
+    asked = {(q, i) for q, i, _ in sig[::50]}
+    assert {k: v for k, v in got.items() if k & asked} == pytest.approx(n)
