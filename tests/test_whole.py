@@ -90,6 +90,6 @@ def test_block_distances_of_all_pairs(spark, sf):
         for j in np.flatnonzero((every == s).any(axis=1)):
             if sig[j][0] != q:
                 n[frozenset([(q, i), sig[j][:2]])] = 1 - (every[j] == s).mean()
-    got = {frozenset([(r[0], r[1]), (r[2], r[3])]): r[4] for r in QUERIES["dist_block_all"](spark, sf).collect()}
+    got = {frozenset([(r[0], r[1]), (r[2], r[3])]): r[4] for r in QUERIES["dist_block"](spark, sf).collect()}
     asked = {(q, i) for q, i, _ in sig[::50]}
     assert {k: v for k, v in got.items() if k & asked} == pytest.approx(n)
