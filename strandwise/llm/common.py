@@ -16,13 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests, a local folder is made and set.
+    Where the session names none, as in tests, a local folder is made and set; on a cluster that is an
+    error, as every machine would write to its own disk and what is read back would not be whole.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         known = "file://" + tempfile.mkdtemp(prefix="strandwise-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -79,6 +82,30 @@ def slices(batches, rows: int = 400):
             yield batch.slice(k, rows)
 
 
+def beside_rows(docs: DataFrame, text_col: str, kinds: str, make) -> DataFrame:
+    """(_row, new columns): every whole row of ``docs`` as a struct beside values computed from its text.
+
+    ``make()`` is called once in a worker and gives a function from a list of texts (null: None) to one Arrow
+    array for each column of the DDL ``kinds``.  Nothing is shuffled, and whatever the columns of ``docs`` are
+    called, they don't meet the new ones.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.types import StructType
+
+    rows = docs.select(F.struct("*").alias("_row"))
+    new = StructType.fromDDL(kinds)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        judge = make()
+        for b in slices(batches):
+            texts = pc.struct_field(b.column(0), [at]).cast(pa.string()).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), *judge(texts)], names=["_row", *new.names])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *new.fields]))
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of the id as text, modulo ``mod``: the fold of a document (a null id is in fold 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0)).cast("int")
@@ -91,13 +118,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, folds: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, text, y) of about ``bound`` labelled documents outside the held-out fold, or all if there are fewer.
 
-    A row is in the sample if a hash of its id is below bound / number of such labels: the same rows
-    each time and evenly spread.  Null labels are left out; of several labels of one id the largest
-    counts.  The ids are at most a little over ``bound``, so they are broadcast.
+    An id is in the sample if a hash of it is below bound / number of such ids: the same each time and evenly
+    spread.  Null labels and null ids are left out; of several labels of one id the largest counts, and of
+    several documents under one id the one whose text has the least hash, so rows are bounded as ids are.
+    The ids are at most a little over ``bound``, so they are broadcast.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held))
-    n = known.count()
-    if n > bound:
-        known = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(label), "doc_id"), 11) < F.lit(int(bound / n * (1 << 53))))
     picked = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    n = picked.count()
+    if n > bound:
+        picked = picked.filter(F.shiftrightunsigned(F.xxhash64(F.lit(label), "doc_id"), 11) < F.lit(int(bound / n * (1 << 53))))
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
