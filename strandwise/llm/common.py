@@ -75,6 +75,24 @@ def ranked(df: DataFrame, order: list[str], sums: dict[str, str], what: str = "r
     return out.select(*df.columns, *[v.alias(k) for k, v in shifted.items()])
 
 
+#: Keys that hold more than one in this many rows are joined by broadcast: there are fewer of them than this.
+HEAVY = 500
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str, n: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row for each key and the number of its rows as ``weight``.
+
+    Keys with more than n / ``HEAVY`` of the ``n`` rows, fewer than ``HEAVY``, are broadcast, so that their
+    rows stay spread; all others are joined as Spark sees fit, and none of them is large.
+    """
+    table = table.withColumnRenamed(key, "_key")
+    most = F.lit(max(1, n // HEAVY))
+    heavy, light = table.filter(F.col(weight) > most), table.filter(F.col(weight) <= most)
+    out = rows.join(F.broadcast(heavy), F.col(key) == F.col("_key"))
+    rest = rows.join(F.broadcast(heavy.select("_key")), F.col(key) == F.col("_key"), "left_anti")
+    return out.union(rest.join(light, F.col(key) == F.col("_key"))).drop("_key", weight)
+
+
 def slices(batches, rows: int = 400):
     """Arrow batches a few rows at a time, so that a worker holds the Python objects of few texts at once."""
     for batch in batches:

@@ -40,5 +40,27 @@ def test_against_brute_force(spark, cell, block):
     assert got == [(k, links[k], comp[k], comp[k] == k) for k in range(len(vs))]
 
 
+def test_null_negative_and_repeated_ids(spark):
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(4, 6))
+    near = lambda k: list(map(float, base[k] + 0.02 * rnd.normal(size=6)))
+    rows = [(5, near(0)), (9, near(0)), (None, near(0)), (-3, near(1)), (9, near(1)), (11, near(1)), (None, near(2)), (None, near(2)), (7, near(3)), (7, near(3)), (8, None), (None, None), (-4, [0.0] * 6)]
+    links, comp = brute([v for _, v in rows], 0.95)
+    got = sorted(map(str, map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())))
+    want = []
+    for k, (i, v) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if comp[j] == comp[k] and rows[j][0] is not None]
+        least = min(ids) if ids else None
+        want.append(str((i, links[k], least, least is None or i == least)))
+    assert got == sorted(want)
+
+
+def test_boundary_is_judged_in_double(spark):
+    turned = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(0, [1.0, 0.0]), (1, turned(0.95 + 1e-9)), (2, turned(0.95 - 1e-9)), (3, [0.0, -1.0])]
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 1, 1: 2, 2: 1, 3: 0}
+
+
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
