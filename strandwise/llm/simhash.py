@@ -13,7 +13,8 @@ and not the links themselves.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Repeated texts share one
 fingerprint, which is compared once.  A row with a null id keeps its fingerprint and has as component
-the smallest id reachable, null where none is.
+the smallest id reachable, null where none is.  Texts of any length are read whole.  An empty table gives an
+empty result.  Columns other than id and text are carried as they are or not read, so names can't clash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import beside_rows, cut, slices, split_join
 from .components import connected_components
 
 SEED = 42
@@ -54,16 +55,18 @@ def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long): one map pass, texts are never shuffled."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprinted(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(_row, fp): whole rows beside the fingerprints of their texts; one map pass."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            got = [text_fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+    def make():
+        return lambda texts: [pa.array(np.array([text_fingerprint(None if t is None else t.encode("utf-8", "surrogatepass"), shingle) for t in texts], np.uint64).view(np.int64))]
+
+    return beside_rows(docs, text_col, "fp long", make)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp long): one map pass, texts are never shuffled."""
+    return fingerprinted(docs.select(id_col, text_col), text_col, shingle).select(F.col("_row")[id_col].alias("doc_id"), "fp")
 
 
 def ring_links(x: np.ndarray, y: np.ndarray, start: np.ndarray, threshold: int) -> np.ndarray:
@@ -137,7 +140,7 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 3, block: int = 4096
     """(a, b): a linear number of links that connect all fingerprints within ``threshold`` bits.
 
     ``distinct`` has one row (fp, rep) for each distinct fingerprint.  Bucket sizes are a table of at
-    most (threshold + 1) * 2^(64 / (threshold + 1)) rows whatever the input, so the join on it is cheap.
+    most (threshold + 1) * 2^(64 / (threshold + 1)) rows whatever the input, so it is broadcast.
     """
     m = threshold + 1
     if 64 % m:
@@ -146,7 +149,7 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 3, block: int = 4096
     mask = (1 << width) - 1
     dealt = distinct.select("fp", "rep", F.posexplode(F.array(*[F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit(mask)) for k in range(m)])).alias("start", "segment"))
     sizes = dealt.groupBy("start", "segment").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    sized = dealt.join(sizes, ["start", "segment"])
+    sized = dealt.join(F.broadcast(sizes) if width <= 16 else sizes, ["start", "segment"])
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sized = sized.select(
@@ -178,16 +181,35 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 3, block: int = 4096
     return sized.repartition("bucket").sortWithinPartitions("bucket").select("start", "fp", "rep", "bucket", "side").mapInArrow(run, "a long, b long")
 
 
+def _placed(prints: DataFrame, threshold: int, block: int) -> DataFrame:
+    """``prints`` (doc_id, fp, ...) with root, which numbers the component, and component_id, its smallest id."""
+    grouped = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    distinct = cut(grouped.withColumn("rep", F.monotonically_increasing_id()), "distinct")
+    comps = connected_components(fingerprint_links(distinct, threshold, block))
+    roots = cut(distinct.join(comps, F.col("rep") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("component", "rep").alias("root")), "roots")
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_members"))
+    n, all_rows = roots.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    groups = split_join(roots.select("fp", "rows", "root"), named, "root", "_members", n)
+    return split_join(prints, groups, "fp", "rows", all_rows)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 3, block: int = 4096) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id) of every row."""
-    prints = cut(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.coalesce("least", F.lit((1 << 63) - 1))), "distinct")
-    comps = connected_components(fingerprint_links(distinct, threshold, block))
-    placed = distinct.join(comps, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    placed = _placed(cut(fingerprints(docs, id_col, text_col, shingle), "prints"), threshold, block)
+    return placed.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 3, block: int = 4096) -> DataFrame:
+    """Exactly one row of ``docs`` for each component: that of the smallest id, null ids last.
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; of rows with one id, all stay or go."""
-    kept = simhash_components(docs.select(id_col, text_col), id_col, text_col, **how).filter("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
+    Of rows with this id the one whose text has the least hash stays; of rows equal in both, any one.  Rows are
+    written once with a number and their fingerprint; the numbers of the rows that go (few, as a rule) are
+    then taken out, by a broadcast where Spark finds them small enough.
+    """
+    numbered = fingerprinted(docs, text_col, shingle).withColumn("_number", F.monotonically_increasing_id())
+    held = cut(numbered.withColumn("_text", F.xxhash64(F.col("_row")[text_col])), "numbered")
+    prints = held.select(F.col("_row")[id_col].alias("doc_id"), "fp", "_text", "_number")
+    placed = cut(_placed(prints, threshold, block).select("root", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text", "_number").alias("rank")), "placed")
+    first = placed.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank._number").alias("_number"))
+    gone = placed.select(F.col("rank._number").alias("_number")).join(first, "_number", "left_anti")
+    return held.join(gone, "_number", "left_anti").select("_row.*")

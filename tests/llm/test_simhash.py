@@ -58,11 +58,18 @@ def test_ring_finds_every_link_in_dense_neighbourhoods(spark):
         assert [found.get(k, k) for k in range(len(prints))] == want
 
 
-def test_one_stays(docs, empty):
+def test_one_row_of_each_component_stays(docs, rows, empty, spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
-    assert 0 in ids and not ids & set(range(200, 230))
+    comp = brute_components([brute_print(t) for _, t, *_ in rows])
+    want = []
+    for c in set(comp):
+        ids = [rows[j][0] for j in range(len(rows)) if comp[j] == c and rows[j][0] is not None]
+        want.append(min(ids) if ids else -1)
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(want)
+    same = spark.createDataFrame([(1, "a b c d")] * 3 + [(None, "e f g h")] * 3 + [(None, "i j k l"), (2, "i j k l")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) + r["text"] for r in simhash.one_of_each(same).collect()) == ["1a b c d", "2i j k l", "Nonee f g h"]
+    assert simhash.one_of_each(empty).count() == 0
     assert simhash.simhash_components(empty).count() == 0
 
 
@@ -72,3 +79,20 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert {got[k] for k in range(101, 161)} == {100} and {got[k] for k in range(600, 700)} == {500} and 7 not in got
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_components_of_random_graphs_with_hubs(spark):
+    rnd = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rnd.integers(0, 3000, (1200, 2))] + [(2999, int(b)) for b in rnd.integers(0, 3000, 900)] + [(-5, 17), (17, -9)]
+    lab = {}
+
+    def find(x):
+        while lab.setdefault(x, x) != x:
+            x = lab[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        lab[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in lab if find(x) != x}
