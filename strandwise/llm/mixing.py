@@ -1,28 +1,30 @@
 """Mixing sources to target weights.
 
 Words are totalled per source; each source's target divided by its total is its repetition rate, and
-every document is taken floor(rate) times plus once more with probability equal to the fraction, decided
-by an md5 of seed and id, so that a rerun takes the same copies.  Each source uses the one of ``SEEDS`` seeds
-whose copies come nearest to its target, which steadies sources of few documents.
+every document is taken floor(rate) times plus once more with probability equal to the fraction: one Bernoulli
+copy, decided by an md5 of seed, id and occurrence, so that a rerun takes the same copies.  The words that a
+source takes so have its target as their mean; the spread is that of independent draws.
 
 Sources are ordered by code point with the null source last and weigh ``weights`` in turn.  Together they
 get ``share`` of all words; a target stops at ``limit`` times its source's words and what is over goes to
 the others by weight, again and again until no target is above its limit.
 
-Null and empty texts have size 0 and are still taken by their source's rate.  Rows that repeat an id share
-one decision, and so do rows with a null id.  A source without words has target 0 and rate
-0.  An empty table gives an empty result.
+Rows that repeat an id, or whose id is null, draw independently: the coin of a row holds a digest of its
+text, and rows equal in id, source and text are numbered from 0 (which of them has which number doesn't change
+the mix of these columns).  Null and empty texts have size 0 and are still taken by their source's rate;
+a text of any length is counted whole.  A source without words has target 0 and rate 0.  An empty table gives an
+empty result.  Rows keep all their columns; other columns are not read, so names can't clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, ranked
 
-#: Seeds that each source chooses from (a multiple of four).
-SEEDS = 8
+SEED = 20240531
 
 
 def n_words(text_col: str = "text"):
@@ -31,11 +33,10 @@ def n_words(text_col: str = "text"):
     return F.length(F.translate(gaps, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def _coins(id_col: str, seed: int) -> list:
-    """``SEEDS`` independent 32-bit fractions of an id: the quarters of md5 digests."""
-    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    digest = [F.md5(F.concat(F.lit(f"{seed + k}:"), text).cast("binary")) for k in range(SEEDS // 4)]
-    return [F.conv(F.substring(digest[k // 4], 8 * (k % 4) + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0) for k in range(SEEDS)]
+def _coin(seed: int, id_col: str, digest_col: str, occurrence_col: str):
+    """A 32-bit fraction of a row's id, text digest and occurrence."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), digest_col, F.col(occurrence_col).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def _copies(coin, target: str, size: str):
@@ -44,13 +45,6 @@ def _copies(coin, target: str, size: str):
     return (F.floor(rate) + (coin < rate - F.floor(rate)).cast("int")).cast("long")
 
 
-def _picked(coins: list, pick: str):
-    out = coins[0]
-    for k, c in enumerate(coins[1:], 1):
-        out = F.when(F.col(pick) == k, c).otherwise(out)
-    return out
-
-
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
@@ -75,36 +69,42 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     )
 
 
-def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")), "sizes")
-
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (written, with ``_key`` and ``_part``) with ``_occurrence``: 0, 1, ... among rows of one key.
 
-def mix_plan(sized: DataFrame, seed: int, **how) -> DataFrame:
-    """(_source, source_size, target, pick): each source's target, and which seed's coins it uses.
-
-    Of ``SEEDS`` seeds a source takes the one whose copies come nearest to its target.
+    Rows are numbered within (keys, part) and shifted by the counts of the parts before, so that no task
+    gathers a group that spreads over many parts.  Only keys that occur more than once are shuffled.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = cut(source_targets(totals, **how).withColumnRenamed("source", "_source"), "targets")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    sums = [F.sum(F.col("size") * _copies(c, "target", "source_size")).alias(f"_t{k}") for k, c in enumerate(_coins("doc_id", seed))]
-    tried = joined.groupBy("_source", "source_size", "target").agg(*sums)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("target")), F.lit(k).alias("k")) for k in range(SEEDS)]))
-    return cut(tried.select("_source", "source_size", "target", best["k"].alias("pick")), "plan")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240531, **how) -> DataFrame:
+    same = rows.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("_key").orderBy("_part")
+    parts = same.select("_key", "_part", F.sum("_n").over(before).alias("_upto"), "_n", F.sum("_n").over(W.partitionBy("_key")).alias("_all"))
+    parts = cut(parts.filter("_all > 1").select(F.col("_key").alias("_k"), F.col("_part").alias("_p"), (F.col("_upto") - F.col("_n")).alias("_offset")), "repeated")
+    met = (F.col("_key") == F.col("_k")) & (F.col("_part") == F.col("_p"))
+    again = rows.join(parts, met)
+    own = W.partitionBy("_key", "_part").orderBy(F.lit(0))
+    again = again.withColumn("_occurrence", F.row_number().over(own) - 1 + F.col("_offset")).select(*rows.columns, "_occurrence")
+    return rows.join(parts, met, "left_anti").withColumn("_occurrence", F.lit(0).cast("long")).union(again)
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, keep: list, **how) -> DataFrame:
+    """Rows (``keep``, doc_id, source, size, source_size, target, copies)."""
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    source = F.col(source_col).cast("string")
+    held = docs.select(*keep, F.col(id_col).alias("_id"), source.alias("_own"), n_words(text_col).alias("_size"), digest.alias("_digest"))
+    held = held.withColumn("_key", F.struct(F.xxhash64("_id", "_own", "_digest").alias("a"), F.xxhash64(F.lit(1), "_id", "_own", "_digest").alias("b")))
+    held = cut(held.withColumn("_part", F.spark_partition_id()), "sizes")
+    totals = held.groupBy(F.col("_own").alias("source")).agg(F.sum("_size").alias("source_size"))
+    plan = cut(source_targets(totals, **how), "targets")
+    rows = numbered(held).join(plan, F.col("_own").eqNullSafe(F.col("source")))
+    return rows.withColumn("copies", _copies(_coin(seed, "_id", "_digest", "_occurrence"), "target", "source_size"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **how) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row: ``copies`` is how often the mix takes it."""
-    sized = _sizes(docs, id_col, text_col, source_col)
-    joined = sized.join(mix_plan(sized, seed, **how), F.col("source").eqNullSafe(F.col("_source")))
-    coin = _picked(_coins("doc_id", seed), "pick")
-    return joined.select("doc_id", "source", "size", "source_size", "target", _copies(coin, "target", "source_size").alias("copies"))
+    return _drawn(docs, id_col, text_col, source_col, seed, [], **how).select(F.col("_id").alias("doc_id"), "source", F.col("_size").alias("size"), "source_size", "target", "copies")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240531, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    plan = mix_plan(_sizes(docs, id_col, text_col, source_col), seed, **how)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_own"))
-    coin = _picked(_coins("_id", seed), "pick")
-    taken = rows.join(plan, F.col("_own").eqNullSafe(F.col("_source"))).withColumn("_copies", _copies(coin, "target", "source_size").cast("int"))
-    return taken.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    taken = _drawn(docs, id_col, text_col, source_col, seed, [F.struct("*").alias("_row")], **how)
+    return taken.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -71,10 +71,10 @@ def op10_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-#: The same water level, coins and choice of seeds in SQL: sources are few there, so plain windows do.
+#: The same water level and coins in SQL: sources are few there, so plain windows do.
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), n AS (
@@ -91,15 +91,13 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(w * level, source_size * 2.0::DOUBLE) END AS target FROM o, v
 ), r AS (
-  SELECT d.doc_id, d.size, t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         k, ('0x' || substr(md5((20240531 + k // 4) || ':' || coalesce(d.doc_id::VARCHAR, '')), (8 * (k % 4) + 1)::INT, 8))::BIGINT / 4294967296.0::DOUBLE AS coin
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, range(8) x(k)
+  SELECT doc_id, size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5('20240531:' || coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || (row_number() OVER (PARTITION BY doc_id, d.source, digest) - 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS coin
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), c AS (
   SELECT *, (floor(rate) + (coin < rate - floor(rate))::INT)::BIGINT AS copies FROM r
-), p AS (
-  SELECT source, arg_min(k, abs(taken - target) * 100 + k * 1e-9) AS pick FROM (SELECT source, k, sum(size * copies) AS taken, any_value(target) AS target FROM c GROUP BY source, k) GROUP BY source
 )
-SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source AND c.k = p.pick
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
 
 OP3_SQL = """

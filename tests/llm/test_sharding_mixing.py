@@ -86,3 +86,42 @@ def test_mix(docs, rows, empty):
     assert whole.columns == docs.columns
     assert Counter(r["doc_id"] for r in whole.select("doc_id").collect()) == Counter({k: v for k, v in sum((Counter({r["doc_id"]: r["copies"]}) for r in got), Counter()).items() if v})
     assert mix(empty).count() == 0 and mixed_documents(empty).count() == 0
+
+
+def brute_copies(rows, sizes, want):
+    """Copies of each (id, source, text), as a multiset, by the coins of a plain loop."""
+    import hashlib
+
+    seen, out = Counter(), Counter()
+    for i, t, _, s, _ in rows:
+        k = seen[i, s, t or ""]
+        seen[i, s, t or ""] += 1
+        digest = hashlib.md5((t or "").encode()).hexdigest()
+        coin = int(hashlib.md5(f"20240531:{'' if i is None else i}:{digest}:{k}".encode()).hexdigest()[:8], 16) / 2**32
+        rate = want[s] / sizes[s] if sizes[s] else 0
+        out[i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), int(rate) + (coin < rate - int(rate))] += 1
+    return out
+
+
+def test_coins_against_brute_force(spark, docs, rows):
+    odd = rows + [(7, "six words that are all equal", "en", "d", 0)] * 40 + [(None, "no id here", "en", "d", 0)] * 40
+    sizes = Counter()
+    for _, t, _, s, _ in odd:
+        sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    want = fill(sizes, (5, 2, 1), 1.5 * sum(sizes.values()))
+    df = spark.createDataFrame(odd, docs.select("doc_id", "text", "lang", "source", "n_chars").schema).repartition(4)
+    got = Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in mix(df).collect())
+    assert got == brute_copies(odd, sizes, want)
+
+
+def test_taken_words_come_near_the_target(spark):
+    rows = [(k, "w " * (1 + k * 7919 % 97), "en", f"s{k % 3}", 0) for k in range(3000)] + [(5, "w " * 20, "en", "same id", 0)] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    totals, spread = defaultdict(float), defaultdict(float)
+    for r in mix(df).collect():
+        f = r["target"] / r["source_size"] % 1
+        totals[r["source"], r["target"]] += r["size"] * r["copies"]
+        spread[r["source"], r["target"]] += r["size"] ** 2 * f * (1 - f)
+    assert len(totals) == 4
+    for (name, target), t in totals.items():
+        assert abs(t - target) <= 4 * spread[name, target] ** 0.5 + 1e-6  # independent draws with the target as their mean
