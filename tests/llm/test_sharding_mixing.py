@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -5,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from strandwise.llm.mixing import mix, mixed_documents, source_targets
-from strandwise.llm.sharding import greedy_cuts, minimax_cuts, shard_documents
+from strandwise.llm.sharding import Outline, minimax_cuts, shard_documents
 
 
 def best_capacity(sizes, shards):
@@ -20,17 +21,37 @@ def best_capacity(sizes, shards):
     return best[n]
 
 
-@pytest.mark.parametrize("sizes,shards", [([5, 1, 1, 1, 9, 2, 2], 3), ([10], 4), ([1] * 17, 5), ([100, 1, 1, 1, 1, 100, 3], 4), ([7, 7, 7], 3)])
-def test_minimax_is_the_least_capacity(sizes, shards):
+def outlined(begins, k):
+    """Stretches of 2^k bytes over a list of begins."""
+    out = {}
+    for b in begins:
+        out.setdefault(b >> k, []).append(b)
+    return [(x[0], x[-1], k) for x in out.values()]
+
+
+CASES = [([5, 1, 1, 1, 9, 2, 2], 3), ([10], 4), ([1] * 17, 5), ([100, 1, 1, 1, 1, 100, 3], 4), ([7, 7, 7], 3)]
+CASES += [(random.Random(k).choices([1, 3, 8, 50, 400], k=5 + 7 * k), 2 + k % 7) for k in range(25)]
+
+
+@pytest.mark.parametrize("sizes,shards", CASES)
+@pytest.mark.parametrize("k", [0, 3, 6, 20])
+def test_minimax_is_the_least_capacity(sizes, shards, k):
     begins = [sum(sizes[:k]) for k in range(len(sizes))]
-    cuts = minimax_cuts(begins, sum(sizes), shards)
-    ends = [*cuts, sum(sizes)]
-    assert max(b - a for a, b in zip([0, *cuts], ends, strict=True)) == best_capacity(sizes, shards)
-    assert greedy_cuts(begins, sum(sizes), best_capacity(sizes, shards) - 1, shards) is None
+    asked = []
 
+    def finer(todo):
+        asked.append(len(todo))
+        return [x for a, b, c in todo for x in outlined([y for y in begins if a <= y <= b], max(0, c - 1))]
 
-def test_shards(docs, rows, empty):
-    got = shard_documents(docs, 6).collect()
+    cuts = minimax_cuts(Outline(outlined(begins, k), sum(sizes)), shards, finer)
+    assert set(cuts) <= set(begins) and len(cuts) < shards
+    assert max(b - a for a, b in zip([0, *cuts], [*cuts, sum(sizes)], strict=True)) == best_capacity(sizes, shards)
+    assert k or not asked
+
+
+@pytest.mark.parametrize("runs", [8, 1 << 16])
+def test_shards(docs, rows, empty, runs):
+    got = shard_documents(docs, 6, runs=runs).collect()
     assert len(got) == len(rows)
     text = {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows}
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == text
@@ -41,10 +62,21 @@ def test_shards(docs, rows, empty):
         load[r["shard"]] += r["size"]
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert all(len(v) == 1 for v in groups.values())  # equal texts stay together
-    assert max(load.values()) <= sum(load.values()) / 6 + max(len((t or "").encode()) + 8 for _, t, *_ in rows) * 31
+    sizes, last = [], None
+    for r in sorted(got, key=lambda r: (r["shard"], r["slot"])):  # the order of the groups
+        this = r["text_crc32"], r["size"]
+        sizes = [*sizes, r["size"]] if this != last else [*sizes[:-1], sizes[-1] + r["size"]]
+        last = this
+    assert len(sizes) == len(groups) and max(load.values()) == best_capacity(sizes, 6)
     assert shard_documents(empty, 6).count() == 0
 
 
+def test_shards_of_one_text(spark):
+    df = spark.createDataFrame([(None if k % 2 else 1, "same") for k in range(500)], "doc_id long, text string").repartition(5)
+    got = shard_documents(df, 3).collect()
+    assert sorted(r["slot"] for r in got) == list(range(500)) and {r["shard"] for r in got} == {0}
+
+
 def fill(sizes, weights, budget, limit=2.0):
     """Water filling as described: share out, cap, share the excess again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
