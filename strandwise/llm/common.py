@@ -100,8 +100,8 @@ def slices(batches, rows: int = 400):
             yield batch.slice(k, rows)
 
 
-def beside_rows(docs: DataFrame, text_col: str, kinds: str, make) -> DataFrame:
-    """(_row, new columns): every whole row of ``docs`` as a struct beside values computed from its text.
+def beside_rows(docs: DataFrame, text_col: str, kinds: str, make, carry: list[str] | None = None) -> DataFrame:
+    """(_row, new columns): the columns ``carry`` of every row (all, if not named) as a struct beside values from its text.
 
     ``make()`` is called once in a worker and gives a function from a list of texts (null: None) to one Arrow
     array for each column of the DDL ``kinds``.  Nothing is shuffled, and whatever the columns of ``docs`` are
@@ -112,16 +112,18 @@ def beside_rows(docs: DataFrame, text_col: str, kinds: str, make) -> DataFrame:
     from pyspark.sql.types import StructType
 
     rows = docs.select(F.struct("*").alias("_row"))
-    new = StructType.fromDDL(kinds)
+    if carry is not None:
+        rows = docs.select(F.struct(*carry).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    out = StructType([rows.schema["_row"], *StructType.fromDDL(kinds).fields])
     at = docs.columns.index(text_col)
 
     def run(batches):
         judge = make()
         for b in slices(batches):
-            texts = pc.struct_field(b.column(0), [at]).cast(pa.string()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), *judge(texts)], names=["_row", *new.names])
+            texts = pc.struct_field(b.column(0), [at]).cast(pa.string()) if carry is None else b.column(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *judge(texts.to_pylist())], names=out.names)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *new.fields]))
+    return rows.mapInArrow(run, out)
 
 
 def crc_mod(column: str, mod: int):

@@ -55,18 +55,18 @@ def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprinted(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(_row, fp): whole rows beside the fingerprints of their texts; one map pass."""
+def fingerprinted(docs: DataFrame, text_col: str = "text", shingle: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """(_row, fp): rows beside the fingerprints of their texts; one map pass."""
 
     def make():
         return lambda texts: [pa.array(np.array([text_fingerprint(None if t is None else t.encode("utf-8", "surrogatepass"), shingle) for t in texts], np.uint64).view(np.int64))]
 
-    return beside_rows(docs, text_col, "fp long", make)
+    return beside_rows(docs, text_col, "fp long", make, carry)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp long): one map pass, texts are never shuffled."""
-    return fingerprinted(docs.select(id_col, text_col), text_col, shingle).select(F.col("_row")[id_col].alias("doc_id"), "fp")
+    return fingerprinted(docs, text_col, shingle, [id_col]).select(F.col("_row")[id_col].alias("doc_id"), "fp")
 
 
 def ring_links(x: np.ndarray, y: np.ndarray, start: np.ndarray, threshold: int) -> np.ndarray:

@@ -378,8 +378,8 @@ def fit_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float],
     return words, stems, fit_patterns(np.array(got["e"].tolist(), float).reshape(-1, len(PATTERNS)), (got["y"].to_numpy() > 0).astype(float))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_rows: int, folds: int) -> DataFrame:
-    """(_row, score, evidence, n_clauses) of every row of ``docs``, whole rows carried along; one map pass."""
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_rows: int, folds: int, carry: list[str] | None = None) -> DataFrame:
+    """(_row, score, evidence, n_clauses) of every row of ``docs``; one map pass."""
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words, stems, weights = fit_lexicon(labelled_sample(named, labels, "toxic", train_rows, folds))
 
@@ -397,13 +397,12 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trai
 
         return run
 
-    return beside_rows(docs, text_col, "score double, evidence array<double>, n_clauses int", judge)
+    return beside_rows(docs, text_col, "score double, evidence array<double>, n_clauses int", judge, carry)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, folds: int = 5) -> DataFrame:
     """(doc_id, score, evidence by pattern, n_clauses) of every row, the grammar fitted on ``labels.toxic`` outside fold 0."""
-    slim = docs.select(id_col, text_col)
-    return _scored(slim, labels, id_col, text_col, train_rows, folds).select(F.col("_row")[id_col].alias("doc_id"), "score", "evidence", "n_clauses")
+    return _scored(docs, labels, id_col, text_col, train_rows, folds, [id_col]).select(F.col("_row")[id_col].alias("doc_id"), "score", "evidence", "n_clauses")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, folds: int = 5) -> DataFrame:

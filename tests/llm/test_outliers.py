@@ -1,9 +1,10 @@
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 
-from strandwise.llm.outliers import BASE, STATS, mcd_estimates, quality_verdicts
+from strandwise.llm.outliers import BASE, STATS, kept_documents, mcd_estimates, quality_verdicts, raw_mcd, shrunk_estimates
 
 
 def brute(text):
@@ -54,3 +55,53 @@ def test_estimates_resist_a_quarter_of_outliers(spark):
     assert np.abs(np.array(row["m"]) - np.arange(p)).max() < 0.3
     found = np.linalg.inv(np.array(row["P"]).reshape(p, p))
     assert 0.6 < np.trace(found) / np.trace(cov) < 1.6
+
+
+def brute_mcd(x, keep):
+    """Least covariance determinant over all subsets of the share ``keep``."""
+    h = round(keep * len(x))
+    return min((np.linalg.slogdet(np.cov(x[list(s)].T, bias=True))[1], s) for s in combinations(range(len(x)), h))
+
+
+def test_determinant_against_all_subsets(spark):
+    floors = {"a": 1e-3, "b": 1e-3}
+    rnd = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(6):
+        x = rnd.multivariate_normal([k, -k], [[1.0, 0.8], [0.8, 1.0]], 16)
+        x[:4] += rnd.normal(size=(4, 2)) * 2 + [6, -6]
+        rows += [(f"g{k}", *map(float, r)) for r in x]
+        want[f"g{k}"] = brute_mcd(x, 0.75)[0]
+    df = spark.createDataFrame(rows, ["g", "a", "b"])
+    got = {r["g"]: r["logdet"] for r in raw_mcd(df, "g", floors)[0].collect()}
+    near = [got[g] - want[g] for g in want]
+    # In part counted boundary documents make small differences; another local minimum would make large ones.
+    assert sum(abs(d) < 0.35 for d in near) >= 5 and max(near) < 1.5
+
+
+def test_small_groups_are_drawn_to_their_language(spark):
+    p = 2
+    eye = [1.0, 0.0, 0.0, 1.0]
+    est = spark.createDataFrame([("big", 100_000, [0.0, 0.0], eye), ("one", 1, [90.0, 90.0], eye), ("other", 50, [10.0, 10.0], eye)], "g string, n long, m array<double>, P array<double>")
+    langs = spark.createDataFrame([("big", "en"), ("one", "en"), ("other", "de")], "g string, g1 string")
+    got = {r["g"]: r["m"][0] for r in shrunk_estimates(est, langs, p).collect()}
+    assert abs(got["big"]) < 0.1 and abs(got["one"] - 90 / 51) < 0.1 and 7 < got["other"] < 8  # (50 * 10 + 50 * about 5) / 100
+
+
+def test_a_lone_document_is_judged_by_its_language(spark):
+    import random
+
+    from .conftest import prose
+
+    rnd = random.Random(4)
+    text = lambda: prose(rnd, 120)
+    rows = [(k, text(), "en", "a", 0) for k in range(200)] + [(500, text(), "en", "alone", 0), (501, " ".join(f"{w}***" for w in text().split()), "en", "odd", 0), (502, text(), None, None, 0)]
+    got = {r["doc_id"]: r["kept"] for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert got[500] and not got[501] and got[502]
+
+
+def test_kept_documents_are_the_verdicts(docs):
+    kept = kept_documents(docs)
+    assert kept.columns == docs.columns
+    ids = Counter(r["doc_id"] for r in kept.select("doc_id").collect())
+    assert ids == Counter(r["doc_id"] for r in quality_verdicts(docs).filter("kept").collect())
