@@ -3,44 +3,41 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents.  ``run`` writes each stage's result to the shared folder and reads it back, so no stage
 recomputes another and a lost executor costs a re-read.
+
+Rows with null ids, null or empty texts, null languages or sources, very long texts and repeated rows go through
+like any other: an empty text isn't toxic but fails the base rules, of equal rows one passes the near-copy stage,
+ties are settled by the smallest id and then by the text's hash.  Extra columns are carried to the mix whatever
+they are called.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandwise.llm.common import cut, table
 from strandwise.llm.mixing import mixed_documents
-from strandwise.llm.outliers import quality_verdicts
+from strandwise.llm.outliers import kept_documents
 from strandwise.llm.queries import tokenizer
 from strandwise.llm.sentencepiece_codec import token_digests
 from strandwise.llm.simhash import one_of_each
-from strandwise.llm.toxicity import toxicity_scores
+from strandwise.llm.toxicity import without_toxic
 
 #: From this score on a document counts as toxic.
 TOXIC = 0.5
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept`` (doc_id), null ids included."""
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below ``TOXIC``; of rows that share an id, all go if one is toxic."""
-    toxic = toxicity_scores(docs, table(spark, sf_dir, "labels")).filter(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_id"]), "left_anti")
+    """Documents that score below ``TOXIC``, each row judged by its own text."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"), TOXIC)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie within their group's Mahalanobis bound."""
-    return _keep(docs, quality_verdicts(docs).filter("kept"))
+    """Documents that pass the base rules and lie within their group's Mahalanobis bound, each by its own text."""
+    return kept_documents(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group of near copies."""
+    """One row of each group of near copies: that of the smallest id."""
     return one_of_each(docs)
 
 
