@@ -4,22 +4,29 @@ The model is of order two.  Training runs in three passes whose intermediate dat
 
 1. Words are counted by their 64-bit hash; each shard of the hash range becomes a sorted array of hashes
    with counts.  A word's place in the arrays is its number.
-2. Pairs (context number, word number) are counted; each bucket of contexts becomes a sorted array of pair
-   keys, those seen once apart from those with a count, beside each context's total and its numbers of
-   words seen once, twice and more often.  Each bucket also counts in how many contexts it saw each word.
-3. Those continuation counts are summed by word.
+2. Pairs (context number, word number) are counted in buckets of about ``FILE`` tokens: ranges of contexts,
+   whose tokens are known from the first pass, while a context with more tokens than that is split by
+   its words.  Each bucket becomes a sorted array of pair keys, those seen once apart from those with a count, beside
+   each context's total and its numbers of words seen once, twice and more often (for a split context these are
+   summed over its buckets).  Each bucket also counts in how many contexts it saw each word.
+3. Those continuation counts are summed by ranges of words, as many as there are buckets, and joined by shard.
+
+So no task holds more than about ``FILE`` tokens' pairs, however frequent a word is.  All counts are 64-bit.
 
 The arrays are files in the shared folder.  Scoring workers map them (from a private copy where the
-folder isn't local), look up sorted keys shard by shard, and add up log10 probabilities by document:
+folder isn't local; at most ``OPEN`` maps at once), look up sorted keys shard by shard, and add up log10 probabilities
+by document:
 
     p(w|u) = (c(uw) - D) / c(u) + gamma(u) * q(w),    q(w) = (N(.w) - d) / N(..) + gamma * 1 / (V + 1)
 
 with the modified discounts D1, D2, D3+ from counts of counts on each level; q alone for unseen contexts.
 An unknown word has only the uniform share.  Nothing is cut off: pairs seen once stay in the model.
 
-A text's tokens are its words, A-Z in lower case, and one end.  Null texts are empty: only an end.
-Repeated rows count as often as they occur.  Without training rows every token has probability one,
-as the uniform share over V + 1 = 1 outcomes.  An empty table gives an empty result.
+A text's tokens are its words, A-Z in lower case, and one end; texts are read whole.  Null texts are empty: only an
+end.  Rows with null ids are in the training fold and scored like any other.  Repeated rows count as often as they
+occur.  Without training rows every token has probability one, as the uniform share over V + 1 = 1
+outcomes.  An empty table gives an empty result.  Columns other than id and text are never read, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +47,8 @@ from .common import crc_mod, cut, fresh_path
 SEED = 7
 #: Rows handled at once, words remembered before a flush, pairs gathered before a flush.
 ROWS, WORDS, PAIRS = 400, 200_000, 2_000_000
-#: Entries aimed at in one file.
-FILE = 2_000_000
+#: Entries aimed at in one file, and files mapped at once by a worker (each holds a handle).
+FILE, OPEN = 2_000_000, 256
 END, BEGIN = b" ", b"  "  # no word has a space
 ONE = 1 << 32
 
@@ -56,7 +64,7 @@ class Store:
 
     def __init__(self, uri: str):
         self.uri = uri
-        self.mapped: dict[str, np.ndarray] = {}
+        self.mapped: OrderedDict[str, np.ndarray] = OrderedDict()
 
     def _at(self, name: str):
         from pyarrow import fs
@@ -85,6 +93,9 @@ class Store:
             self.mapped[name] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
             if not isinstance(where, fs.LocalFileSystem):
                 os.unlink(path)  # the mapping keeps it until the worker ends
+            while len(self.mapped) > OPEN:
+                self.mapped.popitem(last=False)
+        self.mapped.move_to_end(name)
         return self.mapped[name]
 
 
@@ -149,18 +160,13 @@ class Model:
                 out[a:b] = self.store.get(f"words/{s}.{kind}", dtype)[ids[a:b] - self.starts[s]]
         return out
 
-    def bucket_edges(self) -> np.ndarray:
-        return bucket_edges(self.meta["V"], self.meta["buckets"])
-
     def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of sorted pair keys, and the row of (total, once, twice, more) of each key's context."""
         count, context = np.zeros(len(keys), np.int64), np.zeros((len(keys), 4), np.int64)
-        edges = self.bucket_edges()
-        where = np.searchsorted(keys, edges.astype(np.uint64) << np.uint64(32))
-        for k in range(self.meta["buckets"]):
+        edges = np.array(self.meta["edges"], np.uint64)
+        where = np.append(np.searchsorted(keys, edges), len(keys))
+        for k in np.flatnonzero(where[:-1] < where[1:]):
             a, b = where[k], where[k + 1]
-            if a == b:
-                continue
             q = keys[a:b]
             once = self.store.get(f"pairs/{k}.once", np.uint64)
             often = self.store.get(f"pairs/{k}.often", np.uint64)
@@ -171,15 +177,32 @@ class Model:
             if len(often):
                 at = np.minimum(np.searchsorted(often, q), len(often) - 1)
                 hit = often[at] == q
-                got[hit] = self.store.get(f"pairs/{k}.count", np.uint32)[at[hit]]
+                got[hit] = self.store.get(f"pairs/{k}.count", np.int64)[at[hit]]
             count[a:b] = got
-            context[a:b] = self.store.get(f"pairs/{k}.context", np.uint32).reshape(-1, 4)[(q >> np.uint64(32)).astype(np.int64) - edges[k]]
+            first = int(edges[k] >> np.uint64(32))
+            if (split := self.meta["split"].get(first)) is not None:
+                context[a:b] = split
+            else:
+                context[a:b] = self.store.get(f"pairs/{k}.context", np.int64).reshape(-1, 4)[(q >> np.uint64(32)).astype(np.int64) - first]
         return count, context
 
 
-def bucket_edges(v: int, buckets: int) -> np.ndarray:
-    """First context number of each bucket; number v is the begin of a text."""
-    return np.array([(v + 1) * k // buckets for k in range(buckets + 1)], np.int64)
+def bucket_edges(counts: np.ndarray, first: int, width: int, file: int) -> list[int]:
+    """First pair key of each bucket for contexts ``first``, ``first`` + 1, ... that hold ``counts`` tokens.
+
+    A context with more than ``file`` tokens has buckets of its own, equal ranges of the ``width`` word numbers;
+    others share a bucket up to about ``file`` tokens.
+    """
+    big = np.flatnonzero(counts > file)
+    small = np.where(counts > file, 0, counts)
+    turn = np.cumsum(small) // file
+    opens = np.flatnonzero(np.diff(turn, prepend=-1))  # the first context of each range of tokens
+    opens = np.union1d(opens, np.union1d(big, np.minimum(big + 1, len(counts) - 1))) if len(counts) else opens
+    edges = []
+    for u in opens.tolist():
+        parts = -(-int(counts[u]) // file) if counts[u] > file else 1
+        edges += [((first + u) << 32) | (width * k // parts) for k in range(parts)]
+    return edges
 
 
 def discounts(t: list[int]) -> np.ndarray:
@@ -231,29 +254,45 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[str, dict]:
     bits = max(bits, 4)
     shard = F.shiftrightunsigned("h", 64 - bits)
 
+    file = min(FILE, max(1, n // 16))  # some parallelism for small corpora
+
     def write_words(key, pdf):
         import pandas as pd
 
         h = pdf["h"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h)
+        counts = pdf["c"].to_numpy(np.int64)[order]
         store = Store(uri)
         store.put(f"words/{key[0]}.hash", h[order])
-        store.put(f"words/{key[0]}.count", pdf["c"].to_numpy(np.int64)[order].astype(np.uint64))
-        return pd.DataFrame({"shard": [key[0]], "n": [len(h)]})
-
-    sizes = {r["shard"]: r["n"] for r in counted.withColumn("shard", shard).groupBy("shard").applyInPandas(write_words, "shard long, n long").collect()}
-    buckets = max(16, -(-n // FILE))
-    meta = {"V": v, "N": n, "bits": bits, "buckets": buckets, "shard_starts": np.cumsum([0, *[sizes.get(k, 0) for k in range(1 << bits)]])[:-1].tolist()}
+        store.put(f"words/{key[0]}.count", counts)
+        return pd.DataFrame({"shard": [key[0]], "n": [len(h)], "edges": [bucket_edges(counts, 0, v, file)]})
+
+    # About one edge for each FILE tokens.
+    shards = {r["shard"]: r for r in counted.withColumn("shard", shard).groupBy("shard").applyInPandas(write_words, "shard long, n long, edges array<long>").collect()}
+    starts = np.cumsum([0, *[shards[k]["n"] if k in shards else 0 for k in range(1 << bits)]]).tolist()
+    edges = [e + (starts[k] << 32) for k in range(1 << bits) if k in shards for e in shards[k]["edges"]]
+    texts_begun = counted.filter(F.col("h") == F.lit(int(np.array(_hash(END), np.uint64).view(np.int64)))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    edges += bucket_edges(np.array([texts_begun], np.int64), v, v, file)  # the context before a text's first word
+    seen, split = set(), []
+    for e in edges:
+        if (u := e >> 32) in seen:
+            split.append(u)
+        seen.add(u)
+    buckets = len(edges)
+    meta = {"V": v, "N": n, "bits": bits, "buckets": buckets, "edges": edges, "shard_starts": starts[:-1]}
+    divided = frozenset(split)
+    within = max(1, buckets >> bits)  # ranges of words by which each shard's continuation counts are summed
+    ranges = [starts[s] + (starts[s + 1] - starts[s]) * k // within for s in range(1 << bits) for k in range(within)] + [v]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(uri, meta)
-        edges = (bucket_edges(v, buckets).astype(np.uint64)) << np.uint64(32)
+        first_keys = np.array(edges, np.uint64)
         held: list[np.ndarray] = []
         total = 0
 
         def flush():
             keys, c = np.unique(np.concatenate(held), return_counts=True)
-            at = np.searchsorted(keys, edges)
+            at = np.append(np.searchsorted(keys, first_keys), len(keys))
             held.clear()
             some = [k for k in range(buckets) if at[k] < at[k + 1]]
             return pa.RecordBatch.from_arrays(
@@ -272,7 +311,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[str, dict]:
         if held:
             yield flush()
 
-    def write_pairs(key, pdf):
+    def write_pairs(key, pdf):  # one bucket
         import pandas as pd
 
         k = int(key[0])
@@ -283,37 +322,55 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[str, dict]:
         keys, c = keys[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, c = keys[first], np.add.reduceat(c.astype(np.int64), first)
-        a, b = bucket_edges(v, buckets)[k : k + 2]
-        u = (keys >> np.uint64(32)).astype(np.int64) - a
-        context = np.stack([np.bincount(u, w, b - a) for w in (c, c == 1, c == 2, c > 2)], 1)
+        first = edges[k] >> 32
+        u = (keys >> np.uint64(32)).astype(np.int64) - first
+        context = np.stack([np.bincount(u, w) for w in (c, c == 1, c == 2, c > 2)], 1).astype(np.int64)
         store = Store(uri)
         store.put(f"pairs/{k}.once", keys[c == 1])
         store.put(f"pairs/{k}.often", keys[c > 1])
-        store.put(f"pairs/{k}.count", np.minimum(c[c > 1], ONE - 1).astype(np.uint32))
-        store.put(f"pairs/{k}.context", np.minimum(context, ONE - 1).astype(np.uint32))
+        store.put(f"pairs/{k}.count", c[c > 1])
+        store.put(f"pairs/{k}.context", np.concatenate([context, np.zeros((max(0, width[k] - len(context)), 4), np.int64)]))
         w, seen = np.unique(keys & np.uint64(ONE - 1), return_counts=True)
-        at = np.searchsorted(w, np.array([*meta["shard_starts"], v], np.uint64))
-        some = [s for s in range(1 << bits) if at[s] < at[s + 1]]
+        at = np.searchsorted(w, np.array(ranges, np.uint64))
+        some = [s for s in range(len(ranges) - 1) if at[s] < at[s + 1]]
+        own = [first, *context[0].tolist()] if first in divided else []
         return pd.DataFrame(
-            {"shard": [-1, *some], "w": [b"", *[_pack_sorted(w[at[s] : at[s + 1]]) for s in some]], "n": [b"", *[_pack(seen[at[s] : at[s + 1]].astype(np.uint32)) for s in some]], "t": [_counts_of_counts(c), *[[]] * len(some)]}
+            {"part": [-1, *some], "w": [b"", *[_pack_sorted(w[at[s] : at[s + 1]]) for s in some]], "n": [b"", *[_pack(seen[at[s] : at[s + 1]].astype(np.uint32)) for s in some]], "t": [[*_counts_of_counts(c), *own], *[[]] * len(some)]}
         )
 
     packed = texts.mapInArrow(pairs, "bucket int, keys binary, counts binary")
-    done = cut(packed.groupBy("bucket").applyInPandas(write_pairs, "shard int, w binary, n binary, t array<long>"), "pairs")
-    t = done.filter("shard = -1").agg(*[F.coalesce(F.sum(F.col("t")[k]), F.lit(0)) for k in range(4)]).first()
-    starts = [*meta["shard_starts"], v]
+    # Contexts from each bucket's first to the next bucket's, whether or not they were met as contexts.
+    width = [max(1, min((edges[k + 1] >> 32) if k + 1 < buckets else v + 1, v + 1) - (edges[k] >> 32)) for k in range(buckets)]
+    done = cut(packed.groupBy("bucket").applyInPandas(write_pairs, "part int, w binary, n binary, t array<long>"), "pairs")
+    own = done.filter("part = -1")
+    t = own.agg(*[F.coalesce(F.sum(F.col("t")[k]), F.lit(0)) for k in range(4)]).first()
+    shared = own.filter(F.size("t") > 4).groupBy(F.col("t")[4].alias("u")).agg(*[F.sum(F.col("t")[k]).alias(f"x{k}") for k in range(5, 9)])
+    meta["split"] = {r["u"]: [r["x5"], r["x6"], r["x7"], r["x8"]] for r in shared.collect()}  # contexts of over FILE tokens
+
+    def sum_part(key, pdf):
+        import pandas as pd
+
+        k = int(key[0])
+        total = np.zeros(ranges[k + 1] - ranges[k], np.int64)
+        for w, n in zip(pdf["w"], pdf["n"], strict=True):
+            total[(_unpack_sorted(w, np.uint64) - np.uint64(ranges[k])).astype(np.int64)] += _unpack(n, np.uint32)
+        return pd.DataFrame({"shard": [k // within], "part": [k], "n": [_pack(total.astype(np.uint32))], "t": [_counts_of_counts(total)], "all": [int(total.sum())], "many": [int((total > 2).sum())]})
+
+    summed = cut(done.filter("part >= 0").groupBy("part").applyInPandas(sum_part, "shard int, part int, n binary, t array<long>, all long, many long"), "continuations")
+    last = summed.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (*[F.col("t")[k] for k in range(4)], "all", "many")]).first()
 
     def write_continuations(key, pdf):
         import pandas as pd
 
         s = int(key[0])
-        total = np.zeros(starts[s + 1] - starts[s], np.int64)
-        for w, n in zip(pdf["w"], pdf["n"], strict=True):
-            total[(_unpack_sorted(w, np.uint64) - np.uint64(starts[s])).astype(np.int64)] += _unpack(n, np.uint32)
-        Store(uri).put(f"words/{s}.contexts", total.astype(np.uint32))
-        return pd.DataFrame({"shard": [s], "t": [_counts_of_counts(total)], "all": [int(total.sum())], "many": [int((total > 2).sum())]})
-
-    last = done.filter("shard >= 0").groupBy("shard").applyInPandas(write_continuations, "shard int, t array<long>, all long, many long").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (*[F.col("t")[k] for k in range(4)], "all", "many")]).first()
+        total = np.zeros(starts[s + 1] - starts[s], np.uint32)
+        for k, n in zip(pdf["part"], pdf["n"], strict=True):
+            total[ranges[k] - starts[s] : ranges[k + 1] - starts[s]] = _unpack(n, np.uint32)
+        Store(uri).put(f"words/{s}.contexts", total)  # at most V + 1 contexts, so 32 bits do
+        return pd.DataFrame({"shard": [s]})
+
+    written = {r["shard"] for r in summed.groupBy("shard").applyInPandas(write_continuations, "shard int").collect()}
+    assert all(k in written for k in shards)
     meta |= {"pair_counts": list(t), "context_counts": list(last[:4]), "pairs": last[4], "many": last[5]}
     return uri, meta
 
@@ -346,7 +403,7 @@ def log_probabilities(model: Model, ids: np.ndarray, begin: np.ndarray) -> tuple
     m = model.meta
     v, n = m["V"], m["N"]
     uniq, inverse = np.unique(ids, return_inverse=True)
-    count = model.by_word("count", uniq, np.uint64)
+    count = model.by_word("count", uniq, np.int64)
     count[uniq < 0] = 0
     base = np.log10((count + 1.0) / (n + v + 1.0))
     if not n:

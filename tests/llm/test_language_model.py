@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from strandwise.llm import kneser_ney as kn
 
@@ -39,7 +40,9 @@ class Brute:
         return (c - self.d2[min(c, 3)]) / self.ctx[u] + sum(self.d2[k] * self.rows[u][k] for k in (1, 2, 3)) / self.ctx[u] * self.q(w)
 
 
-def test_against_brute_force(docs, rows):
+@pytest.mark.parametrize("file", [300, 2_000_000])  # with the first, frequent words are split over buckets
+def test_against_brute_force(docs, rows, monkeypatch, file):
+    monkeypatch.setattr(kn, "FILE", file)
     train = [tokens(t) for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     m = Brute(train)
     got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in kn.held_out_scores(docs).collect())
@@ -64,3 +67,26 @@ def test_packing():
     a = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (kn._unpack_sorted(kn._pack_sorted(a), np.uint64) == a).all()
     assert (kn._unpack(kn._pack(a), np.uint64) == a).all()
+
+
+def test_buckets_hold_about_as_many_tokens_each():
+    counts = np.array([5, 900, 3, 4, 80, 30, 2500, 1, 1])
+    edges = kn.bucket_edges(counts, 10, 1000, 100)
+    assert edges == sorted(set(edges)) and edges[0] == 10 << 32
+    first = [e >> 32 for e in edges]
+    assert first.count(11) == 9 and first.count(16) == 25
+    rest = [c for c in range(10, 19) if c not in (11, 16)]
+    held = {}
+    for c in rest:
+        held.setdefault(max(k for k, e in enumerate(edges) if e <= c << 32), []).append(counts[c - 10])
+    assert all(sum(x) <= 200 for x in held.values())
+
+
+def test_few_maps_are_held(tmp_path, monkeypatch):
+    monkeypatch.setattr(kn, "OPEN", 3)
+    store = kn.Store(f"file://{tmp_path}")
+    for k in range(9):
+        store.put(f"a/{k}", np.arange(k + 1))
+    for _ in range(2):
+        assert [int(store.get(f"a/{k}", np.int64)[-1]) for k in range(9)] == list(range(9))
+    assert len(store.mapped) == 3
