@@ -349,14 +349,7 @@ def _(spark, sf):
     return seqs(spark, sf).filter(F.length("seq") > 10).select("seq_id", F.substring("seq", 11, 1).alias("base"))
 
 
-@query("seq_iter", with_(S.D) + "SELECT seq_id, i AS pos, substr(seq, (i + 1)::INT, 1) AS base, substr(reverse(substr(seq, 6, 20)), (i - 4)::INT, 1) AS back FROM (SELECT seq_id, seq, unnest(range(5, 25)) AS i FROM d WHERE length(seq) >= 25)")
-def _(spark, sf):
-    own = seqs(spark, sf).filter(F.length("seq") >= 25).select("seq_id", F.substring("seq", 6, 20).alias("part"))
-    rows = own.select("seq_id", "part", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
-    return rows.select("seq_id", (F.col("i") + 5).alias("pos"), F.col("part").substr(F.col("i") + 1, F.lit(1)).alias("base"), F.reverse("part").substr(F.col("i") + 1, F.lit(1)).alias("back"))
-
-
-@query("seq_iter_all", with_(S.D) + "SELECT seq_id, i AS pos, substr(seq, (i + 1)::INT, 1) AS base, substr(seq, (length(seq) - i)::INT, 1) AS back FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS i FROM d)")
+@query("seq_iter", with_(S.D) + "SELECT seq_id, i AS pos, substr(seq, (i + 1)::INT, 1) AS base, substr(seq, (length(seq) - i)::INT, 1) AS back FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS i FROM d)")
 def _(spark, sf):
     return K.bases(seqs(spark, sf))
 
@@ -589,16 +582,10 @@ def probes(spark, sf):
     return seqs(spark, sf).filter(F.length("seq") >= 11).select(A.canonical(F.substring("seq", 1, 11)).alias("kmer")).distinct()
 
 
-@query("cnt_get", with_(S.D, S.k_cte(11, True, where="seq_id % 2 = 0"), "c AS (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer)", PROBE) + "SELECT kmer, coalesce(cnt, 0) AS cnt FROM q LEFT JOIN c USING (kmer)")
-def _(spark, sf):
-    # The counter holds the sequences of even number, so some probes were never counted.
-    return C.lookup(probes(spark, sf), C.kmer_counts(seqs(spark, sf).filter("seq_id % 2 = 0"), 11))
-
-
 ALL_PROBES = PROBE + ", o AS (SELECT kmer FROM q UNION SELECT " + S.canon("kmer") + " FROM (SELECT substr(kmer, 2) || 'G' AS kmer FROM q UNION ALL SELECT reverse(kmer) FROM q))"
 
 
-@query("cnt_get_all", with_(S.D, S.k_cte(11, True), "c AS (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer)", ALL_PROBES) + "SELECT kmer, coalesce(cnt, 0) AS cnt FROM o LEFT JOIN c USING (kmer)")
+@query("cnt_get", with_(S.D, S.k_cte(11, True), "c AS (SELECT kmer, count(*) AS cnt FROM k GROUP BY kmer)", ALL_PROBES) + "SELECT kmer, coalesce(cnt, 0) AS cnt FROM o LEFT JOIN c USING (kmer)")
 def _(spark, sf):
     # The counter holds all sequences; probes that may be absent come from a pushed base and from reading backwards.
     first = probes(spark, sf)
@@ -840,7 +827,8 @@ def _(spark, sf):
 # --- similarity ------------------------------------------------------------------------------------------
 
 #: The query sequence of the one-against-all forms.
-PROBE_SEQ = "ATCATGCCCCTTTAGAAAATTTCCGGATCATCGTACGGAGCATGCGTACAACGTCGATGC"
+#: A generated probe of 60 bases.
+PROBE_SEQ = "".join("ACGT"[(7 * i * i + 3 * i) % 61 % 4] for i in range(60))
 QK = "p AS (SELECT 0 AS seq_id, '" + PROBE_SEQ + "' AS seq), " + S.k_cte(4, True, src="p", name="pk") + ", pw AS (SELECT kmer, count(*) AS b FROM pk GROUP BY kmer), kw AS (SELECT seq_id, kmer, count(*) AS a FROM k GROUP BY ALL)"
 
 
@@ -876,43 +864,12 @@ _one_to_all("sim_prob3_1n", "PROB3")
 _one_to_all("sim_idxmap", "PROB3A", 6)
 
 SLOTS = race_sql(6, 8).replace("SELECT seq_id, slot, arg_min(code, time) AS value FROM t GROUP BY seq_id, slot", "")
-SLOTS += ", v AS (SELECT seq_id, slot, arg_min(code, time) AS value FROM t GROUP BY seq_id, slot), n AS (SELECT a.seq_id, min(b.seq_id) AS other FROM (SELECT DISTINCT seq_id FROM v) a JOIN (SELECT DISTINCT seq_id FROM v) b ON b.seq_id = a.seq_id + 1 GROUP BY a.seq_id) "
-
-
-def neighbour_sigs(spark, sf):
-    """Each sequence's signature beside that of the next number."""
-    v = SK.race(K.kmer_weights(seqs(spark, sf), 6, True), 8)
-    sig = v.groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda x: x["value"]).alias("sig"))
-    other = sig.select((F.col("seq_id") - 1).alias("seq_id"), F.col("sig").alias("sig_b"))
-    return sig.join(other, "seq_id")
-
-
-@query("sim_slots", SLOTS + "SELECT n.seq_id, sum((x.value = y.value)::INT) / 8.0::DOUBLE AS sim FROM n JOIN v x ON x.seq_id = n.seq_id JOIN v y ON y.seq_id = n.other AND y.slot = x.slot GROUP BY n.seq_id")
-def _(spark, sf):
-    return neighbour_sigs(spark, sf).select("seq_id", SI.slot_similarity(F.col("sig"), F.col("sig_b")).alias("sim"))
-
-
-@query("sim_objects", SLOTS + "SELECT n.seq_id, x.slot, x.value FROM n JOIN v x ON x.seq_id = n.seq_id JOIN v y ON y.seq_id = n.other AND y.slot = x.slot AND y.value = x.value")
-def _(spark, sf):
-    both = neighbour_sigs(spark, sf)
-    rows = both.select("seq_id", F.posexplode("sig").alias("slot", "value"), "sig_b")
-    return rows.filter(F.col("sig_b")[F.col("slot")] == F.col("value")).select("seq_id", "slot", "value")
-
-
-@query("set_intersect_sig", SLOTS + "SELECT n.seq_id, count(*) AS n_common FROM n JOIN v x ON x.seq_id = n.seq_id JOIN v y ON y.seq_id = n.other AND y.slot = x.slot AND y.value = x.value GROUP BY n.seq_id")
-def _(spark, sf):
-    both = neighbour_sigs(spark, sf).select("seq_id", F.size(SI.common_objects(F.col("sig"), F.col("sig_b"))).alias("n_common"))
-    return both.filter("n_common > 0")
-
-
-@query("dist_hamming", SLOTS + "SELECT n.seq_id, 1 - sum((x.value = y.value)::INT) / 8.0::DOUBLE AS dist FROM n JOIN v x ON x.seq_id = n.seq_id JOIN v y ON y.seq_id = n.other AND y.slot = x.slot GROUP BY n.seq_id")
-def _(spark, sf):
-    return neighbour_sigs(spark, sf).select("seq_id", SI.hamming_distance(F.col("sig"), F.col("sig_b")).alias("dist"))
+SLOTS += ", v AS (SELECT seq_id, slot, arg_min(code, time) AS value FROM t GROUP BY seq_id, slot)"
 
 
 # The pair forms over all sequences: equal signatures are one class named by its least id, compared with all
 # other classes, and its other members are paired with it.
-PAIRS = SLOTS.split(", n AS (")[0] + (
+PAIRS = SLOTS + (
     ", g AS (SELECT seq_id, string_agg(value::VARCHAR, ',' ORDER BY slot) AS sig FROM v GROUP BY seq_id), h AS (SELECT seq_id, min(seq_id) OVER (PARTITION BY sig) AS class FROM g)"
     ", e AS (SELECT x.seq_id AS a, y.seq_id AS b, x.slot, x.value FROM v x JOIN v y ON x.slot = y.slot AND x.value = y.value AND x.seq_id < y.seq_id JOIN h hx ON hx.seq_id = x.seq_id JOIN h hy ON hy.seq_id = y.seq_id"
     " WHERE (hx.class = x.seq_id AND hy.class = y.seq_id) OR hy.class = x.seq_id) "
@@ -925,22 +882,22 @@ def slot_pairs(spark, sf):
     return SI.slot_agreements(sig)
 
 
-@query("sim_slots_all", PAIRS + "SELECT a, b, count(*) / 8.0::DOUBLE AS sim FROM e GROUP BY a, b")
+@query("sim_slots", PAIRS + "SELECT a, b, count(*) / 8.0::DOUBLE AS sim FROM e GROUP BY a, b")
 def _(spark, sf):
     return slot_pairs(spark, sf).groupBy("a", "b").agg((F.count("*") / 8).alias("sim"))
 
 
-@query("sim_objects_all", PAIRS + "SELECT a, b, slot, value FROM e")
+@query("sim_objects", PAIRS + "SELECT a, b, slot, value FROM e")
 def _(spark, sf):
     return slot_pairs(spark, sf)
 
 
-@query("set_intersect_sig_all", PAIRS + "SELECT a, b, count(*) AS n_common FROM e GROUP BY a, b")
+@query("set_intersect_sig", PAIRS + "SELECT a, b, count(*) AS n_common FROM e GROUP BY a, b")
 def _(spark, sf):
     return slot_pairs(spark, sf).groupBy("a", "b").agg(F.count("*").alias("n_common"))
 
 
-@query("dist_hamming_all", PAIRS + "SELECT a, b, 1 - count(*) / 8.0::DOUBLE AS dist FROM e GROUP BY a, b")
+@query("dist_hamming", PAIRS + "SELECT a, b, 1 - count(*) / 8.0::DOUBLE AS dist FROM e GROUP BY a, b")
 def _(spark, sf):
     # Pairs without a row have distance 1.
     return slot_pairs(spark, sf).groupBy("a", "b").agg((1 - F.count("*") / 8).alias("dist"))

@@ -8,7 +8,8 @@ from strandwise.operators import anchors, counting, similarity, sketch, statisti
 from strandwise.sources import dumps, fastx
 from strandwise.streaming.counts import read_stream, streaming_counts
 
-S80 = "TCAAAGGGAAACATTCAAAATCAGTATGCGCCCGTTCAGTTACGTATTGCTCTCGCTAATGAGATGGGCTGGGTACAGAG"
+from .samples import DNA80
+
 FASTQ = "@r1 x\nACGT\n+\nIIII\n@r2\nACNN\n+\n@@@@\n@r3\nggta\n+r3\n!!!!\n"
 FASTA = ">a one\nACGT\nACG\n>b\n\nTT TT\n>c\nACGX\n"
 
@@ -59,7 +60,7 @@ def test_data_source(spark, tmp_path):
 
 
 def test_parquet_round_trips(spark, tmp_path):
-    df = seqs(spark, S80, S80, "ACGTTT")
+    df = seqs(spark, DNA80, DNA80, "ACGTTT")
     counts = counting.kmer_counts(df, 11)
     dumps.write_counts(counts, str(tmp_path / "c"))
     assert sorted(dumps.read_counts(spark, str(tmp_path / "c")).collect()) == sorted(counts.filter("cnt >= 2").collect())
@@ -78,7 +79,7 @@ def test_parquet_round_trips(spark, tmp_path):
 
 
 def test_text_dumps(spark, tmp_path):
-    df = seqs(spark, S80, "ACGT")
+    df = seqs(spark, DNA80, "ACGT")
     dumps.write_base_distribution(statistics.base_distribution(df), str(tmp_path / "bases"))
     lines = [x.split() for r in spark.read.text(str(tmp_path / "bases")).collect() for x in [r[0]]]
     assert len(lines) == 101 and all(len(x) == 4 for x in lines) and float(lines[25][0]) == 0.5
@@ -87,7 +88,7 @@ def test_text_dumps(spark, tmp_path):
 
 
 def test_binary_round_trips(spark, tmp_path):
-    df = seqs(spark, S80, S80[:60])
+    df = seqs(spark, DNA80, DNA80[:60])
     counts = counting.kmer_counts(df, 12)
     data = dumps.multi_to_binary(counts, 12)
     assert sorted(dumps.multi_from_binary(data, "data").collect()) == sorted(counts.filter("cnt >= 2").collect())
@@ -115,7 +116,7 @@ def test_streaming_counts(spark, tmp_path):
 def test_command_line(spark, tmp_path):
     from strandwise.__main__ import parser, run
 
-    (tmp_path / "r.fq").write_text("".join(f"@r{k}\n{S80}\n+\n{'I' * 80}\n" for k in range(3)))
+    (tmp_path / "r.fq").write_text("".join(f"@r{k}\n{DNA80}\n+\n{'I' * 80}\n" for k in range(3)))
     for words in ("stats", "count -k 12", "unique -k 12", "sketch -k 8 -s 16 --neighbours 3", "sketch -k 8 -s 16 -b 20", "sketch -k 4 -s 16 --data AA --algo SUPER", "anchors -k 8 -w 50 --overlap 10 -n 4", "quality"):
         what, *rest = words.split()
         run(spark, parser().parse_args([what, "-f", str(tmp_path / "r.fq"), "-o", str(tmp_path / "out" / words.replace(" ", "_")), *rest]))

@@ -1,5 +1,7 @@
 """Sketches against exact similarities, within statistical bounds."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +10,7 @@ from strandwise.operators import kmers as K
 from strandwise.operators import similarity as SI
 from strandwise.operators import sketch as SK
 
-D1 = "ATCATGCCCCTTTAGAAAATTTCCGGATCATCGTACGGAGCATGCGTACAACGTCGATGC"
-D2 = "ATCATGCCCCTTTAGAAAATTTCCGGATCATCATGCCCCTTTAGAAAATTTCCGGATC"
-P1 = "MTEQIELIKLYSTRILALAAQMPHVGSLDNPDASAMKRSPLCGSKVTVDVIMQNGKITFDGFEVLAPASEYKNRHASILLSLDATAEACASIAAQNSA"
-P2 = "MTEQIELIKLYSTRILALAAQMPHVGSLDNPDASAMKRSPLCGSKVMTEQIELIKLYSTRILALAAQMPHVGSLDNPDASAMKRSPLCGSKV"
-S80 = "TCAAAGGGAAACATTCAAAATCAGTATGCGCCCGTTCAGTTACGTATTGCTCTCGCTAATGAGATGGGCTGGGTACAGAG"
+from .samples import AMINO_A, AMINO_B, DNA80, HALF_A, HALF_B, words
 
 
 def seqs(spark, *texts):
@@ -30,17 +28,24 @@ def exact(spark, a, b, k, canonical):
     return SI.set_jaccard(w, q).first()["jaccard"], SI.probability_jaccard(w, q).first()["jp"]
 
 
-def test_exact_values(spark):
-    assert exact(spark, D1, D2, 5, False) == (pytest.approx(0.5), pytest.approx(0.4876, abs=1e-4))
-    assert exact(spark, P1, P2, 5, False) == (pytest.approx(42 / 98), pytest.approx(0.4375, abs=1e-4))
-    assert exact(spark, S80, S80[:40], 5, True) == (pytest.approx(34 / 73), pytest.approx(0.4737, abs=1e-4))
-    assert exact(spark, S80[1:65], S80[35:75], 16, True)[0] == pytest.approx(15 / 59)
+def by_hand(a, b, k, canonical):
+    """Set and probability Jaccard of two texts' words by plain loops."""
+    x, y = Counter(words(a, k, canonical)), Counter(words(b, k, canonical))
+    n, m = sum(x.values()), sum(y.values())
+    share = {w: (x[w] / n, y[w] / m) for w in {*x, *y}}
+    jp = sum(1 / sum(max(p / share[w][0], q / share[w][1]) for p, q in share.values()) for w in x if w in y)
+    return len(x.keys() & y.keys()) / len(share), jp
+
+
+@pytest.mark.parametrize("a,b,k,canonical", [(HALF_A, HALF_B, 5, False), (AMINO_A, AMINO_B, 5, False), (DNA80, DNA80[:40], 5, True), (DNA80[1:65], DNA80[35:75], 16, True)])
+def test_exact_values(spark, a, b, k, canonical):
+    assert exact(spark, a, b, k, canonical) == pytest.approx(by_hand(a, b, k, canonical), abs=1e-6)
 
 
 @pytest.mark.parametrize("algo,weighted", [("PROB3A", True), ("PROB3", True), ("SUPER", False), ("SUPER2", False), ("OPTDENS", False), ("REVOPTDENS", False)])
 @pytest.mark.parametrize("data", ["DNA", "AA"])
 def test_estimates(spark, algo, weighted, data):
-    a, b = (D1, D2) if data == "DNA" else (P1, P2)
+    a, b = (HALF_A, HALF_B) if data == "DNA" else (AMINO_A, AMINO_B)
     m = 1000 if algo.startswith(("PROB", "SUPER")) else 60
     sig = SK.sketch(seqs(spark, a, b), SK.SketchParams(5, m, algo, data), canonical=False)
     want = exact(spark, a, b, 5, False)[int(weighted)]
@@ -48,26 +53,26 @@ def test_estimates(spark, algo, weighted, data):
 
 
 def test_reverse_complement_is_the_same(spark):
-    rc = S80[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rc = DNA80[::-1].translate(str.maketrans("ACGT", "TGCA"))
     for algo in SK.KERNELS:
         p = SK.SketchParams(16, 100, algo)
-        assert agreement(SK.sketch(seqs(spark, S80, rc), p)) == 1
+        assert agreement(SK.sketch(seqs(spark, DNA80, rc), p)) == 1
         if algo not in ("HLL", "BINS"):
-            assert agreement(SK.sketch(seqs(spark, S80, rc), p, canonical=False)) < 0.1
+            assert agreement(SK.sketch(seqs(spark, DNA80, rc), p, canonical=False)) < 0.1
 
 
 @pytest.mark.parametrize("algo", ["SUPER", "SUPER2", "HLL", "BINS"])
 def test_merge_is_the_sketch_of_the_union(spark, algo):
     p = SK.SketchParams(6, 64, algo)
-    parts = SK.merge(SK.sketch(seqs(spark, D1, S80), p), SK.KERNELS[algo][2]).orderBy("slot").collect()
-    codes = np.concatenate([SK._codes(x, 6, False, True) for x in (D1, S80)])
+    parts = SK.merge(SK.sketch(seqs(spark, HALF_A, DNA80), p), SK.KERNELS[algo][2]).orderBy("slot").collect()
+    codes = np.concatenate([SK._codes(x, 6, False, True) for x in (HALF_A, DNA80)])
     assert [r["value"] for r in parts] == pytest.approx(list(SK.KERNELS[algo][0](codes, 64)))
-    assert len(SK.sketch_all(seqs(spark, D1, S80), p).collect()) == 64
+    assert len(SK.sketch_all(seqs(spark, HALF_A, DNA80), p).collect()) == 64
 
 
 @pytest.mark.parametrize("algo", ["PROB3A", "OPTDENS", "REVOPTDENS"])
 def test_one_signature_for_all(spark, algo):
-    got = {r["slot"]: r["value"] for r in SK.sketch_all(seqs(spark, D1, S80), SK.SketchParams(6, 64, algo)).collect()}
+    got = {r["slot"]: r["value"] for r in SK.sketch_all(seqs(spark, HALF_A, DNA80), SK.SketchParams(6, 64, algo)).collect()}
     assert sorted(got) == list(range(64)) and np.iinfo(np.int64).max not in got.values()
 
 
@@ -99,12 +104,12 @@ def test_bottom_k_keeps_multiplicity(spark):
 
 
 def test_neighbours_and_blocks(spark):
-    sig = SK.sketch(seqs(spark, S80, S80, S80[:70] + "ACGTACGTAC", D1), SK.SketchParams(8, 64, "PROB3A"))
+    sig = SK.sketch(seqs(spark, DNA80, DNA80, DNA80[:70] + "ACGTACGTAC", HALF_A), SK.SketchParams(8, 64, "PROB3A"))
     got = SI.neighbours(sig, 16, 5).collect()
     assert {(r["a"], r["b"]) for r in got} == {(0, 2), (2, 0)}
-    b = SK.block_sketch(seqs(spark, D1[:5], S80, ""), 3, 6, 10).groupBy("seq_id").count().collect()
+    b = SK.block_sketch(seqs(spark, HALF_A[:5], DNA80, ""), 3, 6, 10).groupBy("seq_id").count().collect()
     assert {r["seq_id"]: r["count"] for r in b} == {0: 1, 1: 8}
-    d = SK.block_sketch(seqs(spark, S80), 3, 6, 10).limit(1).select(SI.block_distance(F.col("seq_id"), F.col("seq_id"), F.col("sig"), F.col("sig")).alias("d")).first()
+    d = SK.block_sketch(seqs(spark, DNA80), 3, 6, 10).limit(1).select(SI.block_distance(F.col("seq_id"), F.col("seq_id"), F.col("sig"), F.col("sig")).alias("d")).first()
     assert d["d"] == 1.0
 
 

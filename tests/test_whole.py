@@ -54,14 +54,14 @@ def rc(x):
 def test_counts_cover_every_sequence(spark, sf):
     texts = [r["seq"] or "" for r in seqs(spark, sf).collect()]
     count = Counter(min(w, rc(w)) for t in texts for w in (t[i : i + 11] for i in range(len(t) - 10)))
-    got = {r["kmer"]: r["cnt"] for r in QUERIES["cnt_get_all"](spark, sf).collect()}
+    got = {r["kmer"]: r["cnt"] for r in QUERIES["cnt_get"](spark, sf).collect()}
     assert {min(t[:11], rc(t[:11])) for t in texts if len(t) >= 11} <= set(got) and 0 in got.values()
     assert got == {k: count[k] for k in got}
 
 
 def test_every_base_is_iterated(spark, sf):
     want = {(r["seq_id"], i, c, r["seq"][-1 - i]) for r in seqs(spark, sf).collect() for i, c in enumerate(r["seq"] or "")}
-    got = [tuple(r) for r in QUERIES["seq_iter_all"](spark, sf).select("seq_id", "pos", "base", "back").collect()]
+    got = [tuple(r) for r in QUERIES["seq_iter"](spark, sf).select("seq_id", "pos", "base", "back").collect()]
     assert len(got) == len(want) and set(got) == want
 
 
