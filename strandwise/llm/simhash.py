@@ -139,8 +139,8 @@ def bucket_links(start: np.ndarray, bucket: np.ndarray, side: np.ndarray, fp: np
 def fingerprint_links(distinct: DataFrame, threshold: int = 3, block: int = 4096) -> DataFrame:
     """(a, b): a linear number of links that connect all fingerprints within ``threshold`` bits.
 
-    ``distinct`` has one row (fp, rep) for each distinct fingerprint.  Bucket sizes are a table of at
-    most (threshold + 1) * 2^(64 / (threshold + 1)) rows whatever the input, so it is broadcast.
+    ``distinct`` has one row (fp, rep) for each distinct fingerprint.  Only buckets of more than one block are
+    looked up; there are at most (threshold + 1) * 2^(64 / (threshold + 1)) buckets whatever the input.
     """
     m = threshold + 1
     if 64 % m:
@@ -148,8 +148,8 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 3, block: int = 4096
     width = 64 // m
     mask = (1 << width) - 1
     dealt = distinct.select("fp", "rep", F.posexplode(F.array(*[F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit(mask)) for k in range(m)])).alias("start", "segment"))
-    sizes = dealt.groupBy("start", "segment").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    sized = dealt.join(F.broadcast(sizes) if width <= 16 else sizes, ["start", "segment"])
+    sizes = dealt.groupBy("start", "segment").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).filter("blocks > 1")
+    sized = dealt.join(F.broadcast(sizes) if width <= 16 else sizes, ["start", "segment"], "left").fillna({"blocks": 1})
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sized = sized.select(
