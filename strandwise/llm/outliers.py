@@ -4,7 +4,7 @@ Every document gets counts and, from these, a vector of transformed statistics.
 source the minimum covariance determinant (MCD) of the vectors is estimated by C-steps: the share ``keep`` of
 documents nearest to the last estimate gives the next mean and covariance.  There are two starts (median
 deviations, and these with the correlations of spatial signs); steps go on until no group's determinant
-falls any more (``steps`` at most), and the start with the smaller determinant holds.  After scaling to the
+falls by more than a hundredth (``steps`` at most), and the start with the smaller determinant holds.  After scaling to the
 chi-square median and one reweighting, documents beyond a chi-square quantile in Mahalanobis distance are rejected.
 
 Everything is estimated over all documents: a C-step is one aggregate of moments by (group, start, distance
@@ -124,7 +124,7 @@ def _symmetric(entry, p: int):
     return F.array(*[entry(min(k, j), max(k, j)) for k in range(p) for j in range(p)])
 
 
-def raw_mcd(rows: DataFrame, group: str = "g", floors: dict[str, float] = STATS, keep: float = 0.75, steps: int = 12):
+def raw_mcd(rows: DataFrame, group: str = "g", floors: dict[str, float] = STATS, keep: float = 0.75, steps: int = 8):
     """The estimates with the least determinant by group, and two functions: one that reweights estimates, one that scales."""
     names, least = list(floors), [float(x) for x in floors.values()]
     p = len(names)
@@ -169,7 +169,7 @@ def raw_mcd(rows: DataFrame, group: str = "g", floors: dict[str, float] = STATS,
         new = kept.join(est.select("g", "start", "m", F.col("logdet").alias("before")), ["g", "start"])
         new = new.select("g", "start", "n", F.array(*[F.col("m")[k] + F.col(f"s{k}") / h for k in range(p)]).alias("m"), "before", invert(cov).alias("x"))
         # The starts are no subsets' determinants, so the first step settles nothing.
-        settled = F.lit(False) if first else F.col("x.logdet") >= F.col("before") - 1e-3
+        settled = F.lit(False) if first else F.col("x.logdet") >= F.col("before") - 1e-2
         return cut(new.select("g", "start", "n", "m", "x.P", "x.logdet", settled.alias("settled")), "mcd")
 
     def scaled(est):
