@@ -8,6 +8,9 @@ table entries, vectorised over a batch.
 The tables are fitted on about ``TRAIN_ROWS`` labelled documents at most (a row of features each), outside
 the held-out fold.  Null and empty texts have all counts zero and are scored like any other.  With labels
 of one kind or none, every score is the smoothed share of label 1.  Repeated rows are scored alike.
+One document stands for each labelled id, so the bound holds for rows too.  Rows with null ids are scored and never
+learned from; texts are read whole whatever their length; an empty table gives an empty result; columns other than
+id and text are never read, so their names can't clash.
 """
 
 from __future__ import annotations

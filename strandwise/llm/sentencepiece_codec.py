@@ -7,7 +7,8 @@ prefix's last token (the one whose predecessor, read from the table, is compatib
 are read backwards from the last entry.
 
 Null texts count as empty; an empty text has no ids and decodes to an empty text.  Texts of any length
-are encoded whole in time linear in their length.
+are encoded whole in time linear in their length.  Repeated rows and rows with null ids are encoded each by itself; an
+empty table gives an empty result.  ``encode_documents`` replaces columns of its own names and keeps all others.
 """
 
 from __future__ import annotations

@@ -1,13 +1,16 @@
 """Token counts of sections by offset-mapped attribution.
 
-A document is encoded once as a whole.  Each token's byte span is mapped to character offsets, and an
-interval join (a merge of two sorted lists) lays the spans over the document's sections, which cover the
-text without gaps.  A token that crosses a boundary goes, whole, to the section that holds most of its
-bytes; on a tie to the earlier one.  So the sections' counts add up to the document's.
+A document is encoded once as a whole.  Each token has a span of the text's UTF-8 bytes (a token can hold part
+of a character, so bytes are the finer offsets), and an interval join (a merge of two sorted lists) lays the
+spans over the byte spans of the document's sections, which cover the text without gaps.  A token that crosses a
+boundary goes, whole, to the section that holds most of its bytes; on a tie to the earlier one.  So the
+sections' counts add up to the document's.
 
 Here sections are lines: each ends with its newline, the last with the text.  A null or empty text has one
 empty section (number 0) and no tokens.  Repeated rows each give their sections.  Special-token strings in
-a text are ordinary text.  An empty table gives an empty result.
+a text are ordinary text.  Rows with null ids are counted like any other, texts are encoded whole whatever their
+length, an empty table gives an empty result, and columns other than id and text are never read, so their names can't
+clash.
 """
 
 from __future__ import annotations
