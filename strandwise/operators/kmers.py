@@ -8,13 +8,17 @@ null) give no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
+from ..functions.hashing import NT_SEEDS
 
-#: Bases of a chunk.
+#: Bases of a chunk, and rows of a batch of rolling hashes.
 CHUNK = 1 << 16
+ROLL_ROWS = 1 << 16
 
 
 def spread(seqs: DataFrame) -> DataFrame:
@@ -131,3 +135,44 @@ def return_times(positions: DataFrame) -> DataFrame:
 
     w = W.partitionBy("seq_id", "kmer").orderBy("pos")
     return positions.withColumn("gap", F.col("pos") - F.lag("pos").over(w)).filter("gap IS NOT NULL")
+
+
+def rolling_nthash(seqs: DataFrame, k: int) -> DataFrame:
+    """(seq_id, pos, forward, reverse): ntHash of every k-mer, in time that does not depend on ``k``.
+
+    A rolling hash turns by one bit at each base.  Turned back by their places, the bases' seeds no longer
+    depend on the window, so each window is the difference of two running xors, turned forward again.
+    """
+    turns = np.arange(64, dtype=np.uint64)
+
+    def turned(seeds: np.ndarray, by: np.ndarray) -> np.ndarray:
+        by = by.astype(np.uint64) % np.uint64(64)
+        return (seeds << by) | np.where(by == 0, np.uint64(0), seeds >> ((np.uint64(64) - by) % np.uint64(64)))
+
+    own, other = np.zeros((256, 64), np.uint64), np.zeros((256, 64), np.uint64)
+    for base, mate in zip("ACGT", "TGCA", strict=True):
+        # By place: a base's seed turned back by it, and its mate's turned forward.
+        own[ord(base)] = turned(np.full(64, NT_SEEDS[base], np.uint64), np.uint64(64) - turns)
+        other[ord(base)] = turned(np.full(64, NT_SEEDS[mate], np.uint64), turns)
+
+    def windows(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+        place = np.arange(len(x)) % 64
+        runs = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(table[x, place])])
+        return runs[k:] ^ runs[:-k]
+
+    def run(batches):
+        for b in batches:
+            for i, s in enumerate(b.column(1).to_pylist()):
+                x = np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)
+                n = len(x) - k + 1
+                if n <= 0:
+                    continue
+                at = np.arange(n)
+                f = turned(windows(x, own), at + k - 1).view(np.int64)
+                r = turned(windows(x, other), 64 - at % 64).view(np.int64)
+                for lo in range(0, n, ROLL_ROWS):
+                    part = slice(lo, lo + ROLL_ROWS)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(at[part]))), pa.array(at[part].astype(np.int32)), pa.array(f[part]), pa.array(r[part])], names=["seq_id", "pos", "forward", "reverse"])
+
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    return spread(seqs.select("seq_id", "seq")).mapInArrow(run, f"seq_id {kind}, pos int, forward long, reverse long")

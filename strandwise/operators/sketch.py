@@ -4,8 +4,8 @@ Bottom-k sketches, one-permutation bins and the exponential race are DataFrame e
 kernels run in Arrow batches over whole sequences: a signature needs its sequence only, so they are one
 map pass after the sequences are spread over the cores.  One signature for many sequences merges partial ones slot by slot.
 
-Algorithms from the papers: SuperMinHash (arXiv:1706.05698), ProbMinHash as P-MinHash's exponential race
-(arXiv:1911.00675), optimal densification (Shrivastava 2017) and its reverse (Mai and others 2020),
+Algorithms from the papers: SuperMinHash (arXiv:1706.05698), ProbMinHash3 in the order of its variant 3a
+(arXiv:1911.00675), P-MinHash's exponential race as a DataFrame form, optimal densification (Shrivastava 2017) and its reverse (Mai and others 2020),
 SetSketch (arXiv:2101.00314).
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions.hashing import inv32, mix64
-from .kmers import kmer_weights, kmers, spread
+from .kmers import blocks, kmers, spread
 
 #: Golden-ratio step between the slots of the exponential race (a fixed value).
 SLOT_STEP = 2654435769
@@ -100,12 +100,17 @@ def one_permutation_bins(seqs: DataFrame, k: int, m: int, canonical: bool = True
 # --- kernels ---------------------------------------------------------------------------------------------
 
 
-def _codes(seq: str, k: int, aa: bool, canonical: bool) -> np.ndarray:
-    """Codes of all k-mers of a sequence, in order."""
+def _letters(aa: bool) -> tuple[np.ndarray, int]:
+    """Code of each byte, and bits of a code."""
     table = np.full(256, 255, np.uint64)
-    letters, bits = (A.AMINO_CODES.items(), 5) if aa else (zip("ACGT", range(4), strict=True), 2)
-    for c, v in letters:
+    for c, v in A.AMINO_CODES.items() if aa else zip("ACGT", range(4), strict=True):
         table[ord(c)] = v
+    return table, 5 if aa else 2
+
+
+def _codes(seq: str, k: int, aa: bool, canonical: bool) -> np.ndarray:
+    """Codes of all k-mers of a sequence, in order."""
+    table, bits = _letters(aa)
     x = table[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
     n = len(x) - k + 1
     if n <= 0:
@@ -118,6 +123,27 @@ def _codes(seq: str, k: int, aa: bool, canonical: bool) -> np.ndarray:
     return np.minimum(code, rc) if canonical else code
 
 
+def word_codes(words: list[str], k: int, aa: bool) -> np.ndarray:
+    """Codes of k-mers given as texts."""
+    table, bits = _letters(aa)
+    x = table[np.frombuffer("".join(words).encode("ascii"), np.uint8)].reshape(len(words), k)
+    code = np.zeros(len(words), np.uint64)
+    for i in range(k):
+        code |= x[:, i] << np.uint64(bits * (k - 1 - i))
+    return code
+
+
+def code_words(codes: np.ndarray, k: int, aa: bool) -> list[str]:
+    """Texts of k-mer codes."""
+    table, bits = _letters(aa)
+    back = np.zeros(1 << bits, np.uint8)
+    known = np.flatnonzero(table != 255)
+    back[table[known].astype(np.int64)] = known
+    shifts = np.uint64(bits) * np.arange(k - 1, -1, -1, dtype=np.uint64)
+    digits = (codes.astype(np.uint64)[:, None] >> shifts[None, :]) & np.uint64((1 << bits) - 1)
+    return [bytes(r).decode("ascii") for r in back[digits.astype(np.int64)]]
+
+
 def _uniform(codes: np.ndarray, slots: np.ndarray, seed: int) -> np.ndarray:
     """u in (0, 1) of each (code, slot)."""
     with np.errstate(over="ignore"):
@@ -130,29 +156,56 @@ def _by_parts(codes: np.ndarray, m: int) -> Iterator[slice]:
     return (slice(k, k + step) for k in range(0, len(codes), step))
 
 
-def prob_kernel(codes: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
-    """Slot-wise winner of the exponential race of the distinct codes at their multiplicities."""
-    distinct, weight = np.unique(codes, return_counts=True)
+def first_points(codes: np.ndarray, weight: np.ndarray, m: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(time, code) of the earliest point in each slot: ProbMinHash3, all elements' points of a round at once.
+
+    Element d has in each stretch [i, i + 1) / weight one point, at a truncated exponential place, in a slot
+    drawn at random; so the first point in a slot is exponential at a rate in proportion to its weight.
+    Elements whose next stretch begins beyond the latest slot are done: about n + m log m points in all.
+    """
     best, out = np.full(m, np.inf), np.zeros(m, np.uint64)
-    for part in _by_parts(distinct, m):
-        t = -np.log(_uniform(distinct[part], np.arange(m), seed)) / weight[part, None]
-        k = t.argmin(axis=0)
-        now = t[k, np.arange(m)]
-        better = now < best
-        best[better], out[better] = now[better], distinct[part][k[better]]
-    return out.view(np.int64)
+    rate = np.log(m / (m - 1)) if m > 1 else 1.0
+    i = 0
+    while len(codes):
+        place, slot = _uniform(codes, np.array([i]), seed)[:, 0], np.zeros(len(codes), np.int64)
+        if m > 1:
+            place = -np.log1p(-place / m) / rate
+            slot = np.minimum((_uniform(codes, np.array([i]), seed + 1000)[:, 0] * m).astype(np.int64), m - 1)
+        else:
+            place = -np.log(place)
+        time, before = (i + place) / weight, best.copy()
+        np.minimum.at(best, slot, time)
+        won = (time == best[slot]) & (time < before[slot])
+        out[slot[won]] = codes[won]
+        i += 1
+        left = (i / weight < best.max()) & (m > 1)
+        codes, weight = codes[left], weight[left]
+    return best, out
+
+
+def prob_kernel(codes: np.ndarray, m: int) -> np.ndarray:
+    """ProbMinHash of the codes at their multiplicities.  Variant 3a is variant 3 in another order, with the same result."""
+    distinct, weight = np.unique(codes, return_counts=True)
+    return first_points(distinct, weight, m)[1].view(np.int64)
 
 
 def super_kernel(codes: np.ndarray, m: int, seed: int = 3) -> np.ndarray:
-    """SuperMinHash: each element deals j + r_j (r_j uniform) to a random permutation of the slots; the least stays."""
+    """SuperMinHash: each element deals j + r_j (r_j uniform) to a random permutation of the slots; the least stays.
+
+    Steps j of the permutations are made for all elements at once, and end when no slot holds more than j.
+    """
     distinct = np.unique(codes)
     out = np.full(m, np.inf)
     for part in _by_parts(distinct, m):
-        perm = np.argsort(_uniform(distinct[part], np.arange(m), seed), axis=1)
-        value = np.arange(m) + _uniform(distinct[part], np.arange(m), seed + 1000)
-        placed = np.empty_like(value)
-        np.put_along_axis(placed, perm, value, axis=1)
-        out = np.minimum(out, placed.min(axis=0))
+        own = distinct[part]
+        rows, perm = np.arange(len(own)), np.tile(np.arange(m, dtype=np.int32), (len(own), 1))
+        for j in range(m):
+            if out.max() <= j:
+                break
+            at = np.minimum(j + (_uniform(own, np.array([j]), seed)[:, 0] * (m - j)).astype(np.int64), m - 1)
+            slot = perm[rows, at]
+            perm[rows, at] = perm[:, j]
+            np.minimum.at(out, slot, j + _uniform(own, np.array([j]), seed + 1000)[:, 0])
     return out
 
 
@@ -220,7 +273,7 @@ def set_cardinality(registers: np.ndarray) -> float:
 #: Algorithm: kernel, type of a slot, how signatures of parts merge (None: they don't).
 KERNELS: dict[str, tuple[Callable, str, str | None]] = {
     "PROB3A": (prob_kernel, "long", None),
-    "PROB3": (lambda c, m: prob_kernel(c, m, 2), "long", None),
+    "PROB3": (prob_kernel, "long", None),
     "SUPER": (super_kernel, "double", "min"),
     "SUPER2": (super2_kernel, "long", "min"),
     "OPTDENS": (lambda c, m: densify(_bins(c, m)), "long", None),
@@ -257,14 +310,13 @@ def sketch_all(seqs: DataFrame, params: SketchParams) -> DataFrame:
     """(slot, value): one signature for all sequences together.
 
     Mergeable kernels give partial signatures that are combined by slot; densification comes after the
-    merge of the bins; weighted signatures run the race over the summed weights.
+    merge of the bins; weighted signatures take the earliest points of the summed weights, part by part.
+    The result is the signature that ``sketch`` gives for one sequence with all the k-mers.
     """
-    algo = params.algo
+    algo, aa = params.algo, params.data_type == "AA"
     if algo in ("PROB3A", "PROB3"):
-        if params.data_type != "DNA" or params.kmer_size > 16:
-            raise ValueError("the race takes DNA k-mers of up to 16 bases")
-        total = kmer_weights(seqs, params.kmer_size, True).groupBy("kmer").agg(F.sum("weight").alias("weight"))
-        return race(total, params.sketch_size, ())
+        total = kmers(seqs, params.kmer_size, not aa).groupBy("kmer").agg(F.count("*").alias("weight"))
+        return first_points_of(total, params.kmer_size, params.sketch_size, aa)
     part = SketchParams(params.kmer_size, params.sketch_size, "BINS" if algo.endswith("OPTDENS") else algo, params.data_type)
     merged = merge(sketch(seqs, part), KERNELS[part.algo][2])
     if not algo.endswith("OPTDENS"):
@@ -280,6 +332,22 @@ def sketch_all(seqs: DataFrame, params: SketchParams) -> DataFrame:
     return merged.groupBy(F.lit(0).alias("_")).applyInPandas(lambda pdf: run(pdf), "slot int, value long")  # sketch_size rows
 
 
+def first_points_of(weights: DataFrame, k: int, m: int, aa: bool = False) -> DataFrame:
+    """(slot, value): ProbMinHash of a table of distinct k-mers with weights; ``m`` rows of each partition are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, out = np.full(m, np.inf), np.zeros(m, np.uint64)
+        for b in batches:
+            time, code = first_points(word_codes(b.column(0).to_pylist(), k, aa), b.column(1).to_numpy(), m)
+            out = np.where(time < best, code, out)
+            best = np.minimum(time, best)
+        some = np.flatnonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(best[some]), pa.array(out.view(np.int64)[some])], names=["slot", "time", "code"])
+
+    points = weights.select("kmer", "weight").mapInArrow(run, "slot int, time double, code long")
+    return points.groupBy("slot").agg(F.min_by("code", F.struct("time", "code")).alias("value"))
+
+
 def merge(sigs: DataFrame, how: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, slot, value): union of mergeable signatures, the least or largest value of each slot."""
     agg = {"min": F.min, "max": F.max}[how]
@@ -300,3 +368,11 @@ def block_sketch(seqs: DataFrame, k: int, m: int, block: int) -> DataFrame:
 
     kind = seqs.schema["seq_id"].dataType.simpleString()
     return spread(seqs.select("seq_id", "seq")).mapInArrow(run, f"seq_id {kind}, block_no int, sig array<long>")
+
+
+def block_race(seqs: DataFrame, k: int, m: int, block: int) -> DataFrame:
+    """(seq_id, block_no, sig): the exponential race in each block that has a k-mer, without Python workers."""
+    keys = ("seq_id", "block_no")
+    weights = blocks(seqs, k, block).groupBy(*keys, "kmer").agg(F.count("*").alias("weight"))
+    rows = race(weights, m, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
+    return rows.select(*keys, F.transform("s", lambda x: x["value"]).alias("sig"))

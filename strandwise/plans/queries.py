@@ -6,6 +6,7 @@ queries run over the whole table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,7 +98,7 @@ COUNT8 = with_(S.D, S.k_cte(8, True)) + "SELECT kmer, count(*) AS cnt FROM k GRO
 
 @query("src_multi", with_(S.D, S.k_cte(8, True)) + "SELECT kmer, least(count(*), 65535)::BIGINT AS cnt FROM k GROUP BY kmer HAVING count(*) >= 2")
 def _(spark, sf):
-    packed = dumps.multi_to_binary(C.kmer_counts(seqs(spark, sf), 8), 8)  # at most 4^8 k-mers
+    packed = dumps.multi_to_binary(C.kmer_counts(seqs(spark, sf), 8), 8)
     return dumps.multi_from_binary(packed, "data")
 
 
@@ -106,6 +107,22 @@ def _(spark, sf):
     return dumps.unique_from_binary(dumps.unique_to_binary(C.unique_kmers(seqs(spark, sf), 8), 8), "data")
 
 
+@query("src_multi64", with_(S.D, S.k_cte(24, True)) + "SELECT kmer, least(count(*), 65535)::BIGINT AS cnt FROM k GROUP BY kmer HAVING count(*) >= 2")
+def _(spark, sf):
+    return dumps.multi_from_binary(dumps.multi_to_binary(C.kmer_counts(seqs(spark, sf), 24), 24), "data")
+
+
+def _aa_dump(k: int):
+    @query(f"src_multi_aa{k}", with_(S.AA, S.k_cte(k)) + "SELECT kmer, least(count(*), 65535)::BIGINT AS cnt FROM k GROUP BY kmer HAVING count(*) >= 2")
+    def _(spark, sf):
+        counts = K.kmers(aas(spark, sf), k).groupBy("kmer").agg(F.count("*").alias("cnt"))
+        return dumps.multi_from_binary(dumps.multi_to_binary(counts, k, "AA"), "data", "AA")
+
+
+_aa_dump(5)
+_aa_dump(12)
+
+
 @query("src_params", "SELECT 8::BIGINT AS kmer_size, 32::BIGINT AS sketch_size, 'PROB3A' AS algo, 'DNA' AS data_type")
 def _(spark, sf):
     text = spark.createDataFrame([(SK.SketchParams(8, 32).to_json(),)], "value string")
@@ -144,22 +161,57 @@ def _(spark, sf):
     return C.repeated(C.partitioned_counts(seqs(spark, sf), 16, 16))
 
 
-@query("sink_sig")
+BIN_SQL = with_(
+    S.D, S.k_cte(8, True), "m AS (SELECT seq_id, h % 16 AS slot, min(h) AS value FROM " + S.inv32(f"(SELECT seq_id, {S.code('kmer', 8)} AS code FROM k)", "code") + " GROUP BY ALL)",
+    "b AS (SELECT i.seq_id, r.slot, coalesce(m.value, 4294967295) AS value FROM (SELECT DISTINCT seq_id FROM k) i CROSS JOIN range(16) r(slot) LEFT JOIN m ON m.seq_id = i.seq_id AND m.slot = r.slot)",
+)
+
+
+def bin_signatures(spark, sf):
+    """The least hash of each of 16 bins, all ones where a bin is empty."""
+    b = K.kmers(seqs(spark, sf), 8, True).select("seq_id", SK.code_hash(F.col("kmer")).alias("h"))
+    return b.groupBy("seq_id").agg(F.array(*[F.coalesce(F.min(F.when(F.col("h") % 16 == i, F.col("h"))), F.lit(0xFFFFFFFF)) for i in range(16)]).alias("sig"))
+
+
+def joined(sig):
+    return F.array_join(F.transform(sig, lambda x: x.cast("string")), ",")
+
+
+PARAMS = SK.SketchParams(8, 16, "BINS")
+
+
+@query("sink_sig", BIN_SQL + f"SELECT seq_id, string_agg(value::VARCHAR, ',' ORDER BY slot) AS sig, '{PARAMS.to_json()}' AS params FROM b GROUP BY seq_id")
 def _(spark, sf):
     # As stored: one row for each sequence, with the parameters beside it.
-    p = SK.SketchParams(8, 32, "PROB3A")
-    return SK.sketch(seqs(spark, sf), p).select("seq_id", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("sig"), F.lit(p.to_json()).alias("params"))
+    return bin_signatures(spark, sf).select("seq_id", joined("sig").alias("sig"), F.lit(PARAMS.to_json()).alias("params"))
+
+
+@query("src_sig", BIN_SQL + "SELECT 8::BIGINT AS k, slot, value, count(*) AS n FROM b GROUP BY slot, value")
+def _(spark, sf):
+    # Through a binary dump, which holds no sequence ids.
+    back = dumps.signatures_from_binary(dumps.signatures_to_binary(bin_signatures(spark, sf), 8), "data")
+    return back.select("k", F.posexplode("sig").alias("slot", "value")).groupBy("k", "slot", "value").agg(F.count("*").alias("n"))
+
+
+def block_sql(k: int, m: int, block: int) -> str:
+    """CTEs up to v (seq_id, block_no, slot, value): the race in each block."""
+    w = f"w AS (SELECT seq_id, pos // {block} AS block_no, {S.code('kmer', k)} AS code, count(*) AS weight FROM k GROUP BY ALL), s AS (SELECT *, (code + slot * 2654435769) & 4294967295 AS z FROM w, range({m}) r(slot))"
+    t = "t AS (SELECT seq_id, block_no, slot, code, -ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / weight AS time FROM " + S.inv32("s", "z") + ")"
+    return with_(S.D, S.k_cte(k, True), w, t, "v AS (SELECT seq_id, block_no, slot, arg_min(code, time) AS value FROM t GROUP BY seq_id, block_no, slot)")
+
+
+def block_dump(spark, sf):
+    return dumps.blocks_from_binary(dumps.blocks_to_binary(SK.block_race(seqs(spark, sf), 8, 8, 200), 8, 200), "data")
 
 
-@query("sink_blocksig")
+@query("sink_blocksig", block_sql(8, 8, 200) + "SELECT seq_id, block_no, 8::BIGINT AS k, 200::BIGINT AS block, string_agg(value::VARCHAR, ',' ORDER BY slot) AS sig FROM v GROUP BY seq_id, block_no")
 def _(spark, sf):
-    return SK.block_sketch(seqs(spark, sf), 8, 8, 200).select("seq_id", "block_no", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("sig"))
+    return block_dump(spark, sf).select("seq_id", "block_no", "k", "block", joined("sig").alias("sig"))
 
 
-@query("src_blocksig")
+@query("src_blocksig", block_sql(8, 8, 200) + "SELECT seq_id, block_no, slot, value FROM v")
 def _(spark, sf):
-    stored = SK.block_sketch(seqs(spark, sf), 8, 8, 200)
-    return stored.groupBy("seq_id").agg(F.count("*").alias("n_blocks"), F.max(F.size("sig")).alias("slots"))
+    return block_dump(spark, sf).select("seq_id", "block_no", F.posexplode("sig").alias("slot", "value"))
 
 
 @query("sink_once", with_(S.D, S.k_cte(10, True)) + "SELECT kmer, min(seq_id) AS seq_id, min(pos) AS pos FROM k GROUP BY kmer HAVING count(*) = 1")
@@ -441,7 +493,17 @@ def _(spark, sf):
     return rows.select("kmer", H.nthash_canonical(F.col("f"), F.col("r")).alias("x")).select("kmer", H.unsigned_text(F.col("x.hash")).alias("hash"), "x.strand")
 
 
-@query("hash_nt_multi")
+@query("hash_nt_roll", with_(S.D, S.k_cte(10)) + f"SELECT seq_id, pos, {S.hex16('least(f, r)')} AS hash, (r < f)::BIGINT AS strand FROM (SELECT seq_id, pos, {FWD} AS f, {REV} AS r FROM k)")
+def _(spark, sf):
+    rows = K.rolling_nthash(seqs(spark, sf), 10).select("seq_id", "pos", H.nthash_canonical(F.col("forward"), F.col("reverse")).alias("x"))
+    return rows.select("seq_id", "pos", H.unsigned_text(F.col("x.hash")).alias("hash"), "x.strand")
+
+
+MULTI = [(i ^ (10 * H.NT_MULTI_SEED)) & ((1 << 64) - 1) for i in range(3)]
+MULTI_SQL = f"f AS (SELECT kmer, {FWD} AS f FROM u), t AS (SELECT kmer, i, f, ((f::UHUGEINT * CASE i WHEN 1 THEN {MULTI[1]}::UHUGEINT ELSE {MULTI[2]}::UHUGEINT END) % 18446744073709551616::UHUGEINT)::UBIGINT AS t FROM f, range(3) r(i))"
+
+
+@query("hash_nt_multi", KD.rstrip() + ", " + MULTI_SQL + f" SELECT kmer, i, {S.hex16(f'CASE WHEN i = 0 THEN f ELSE xor(t, t >> {H.NT_MULTI_SHIFT}) END')} AS hash FROM t")
 def _(spark, sf):
     rows = distinct_kmers(spark, sf).select("kmer", H.nthash(F.col("kmer"), 10).alias("f"))
     return rows.select("kmer", F.posexplode(H.nthash_multi(10, 3)("f")).alias("i", "h")).select("kmer", "i", H.unsigned_text(F.col("h")).alias("hash"))
@@ -455,7 +517,7 @@ def _(spark, sf):
     return distinct_kmers(spark, sf).select("kmer", H.inv32(A.kmer_code(F.col("kmer"))).alias("hash"))
 
 
-@query("hash_inv64")
+@query("hash_inv64", KD + f"SELECT kmer, {S.hex16('h')} AS hash FROM " + S.mix64(CODED, "code"))
 def _(spark, sf):
     return distinct_kmers(spark, sf).select("kmer", H.unsigned_text(H.inv64(A.kmer_code(F.col("kmer")))).alias("hash"))
 
@@ -723,8 +785,8 @@ def _(spark, sf):
 # --- sketches --------------------------------------------------------------------------------------------
 
 
-def bottom_sql(k: int, size: int, where: str = "TRUE", tail: str = "SELECT seq_id, rank, hash, cnt FROM b") -> str:
-    c = "c AS (SELECT seq_id, h AS hash, count(*) AS cnt FROM " + S.inv32(f"(SELECT seq_id, {S.code('kmer', k)} AS code FROM k)", "code") + " GROUP BY ALL)"
+def bottom_sql(k: int, size: int, where: str = "TRUE", tail: str = "SELECT seq_id, rank, hash, cnt FROM b", mix: Callable = S.inv32) -> str:
+    c = "c AS (SELECT seq_id, h AS hash, count(*) AS cnt FROM " + mix(f"(SELECT seq_id, {S.code('kmer', k)} AS code FROM k)", "code") + " GROUP BY ALL)"
     return with_(S.D, S.k_cte(k, True, where=where), c, f"b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY hash) AS rank FROM c QUALIFY rank <= {size})") + tail
 
 
@@ -738,9 +800,13 @@ def _(spark, sf):
     return SK.minhash(seqs(spark, sf), 10, 20)
 
 
-@query("sk_mininvhash64")
+def code_hash64(kmer):
+    return H.inv64(A.kmer_code(kmer))
+
+
+@query("sk_mininvhash64", bottom_sql(20, 20, mix=S.inv64))
 def _(spark, sf):
-    return SK.minhash(seqs(spark, sf), 20, 20, lambda km: H.inv64(A.kmer_code(km)))
+    return SK.minhash(seqs(spark, sf), 20, 20, code_hash64)
 
 
 @query("sk_minhash_range", bottom_sql(12, 30, "pos >= 10 AND pos + 12 <= 200"))
@@ -761,14 +827,32 @@ def _(spark, sf):
 
 @query("sk_prob3a_seqs", race_sql(8, 32, ""))
 def _(spark, sf):
-    return SK.sketch_all(seqs(spark, sf), SK.SketchParams(8, 32, "PROB3A"))
+    total = K.kmers(seqs(spark, sf), 8, True).groupBy("kmer").agg(F.count("*").alias("weight"))
+    return SK.race(total, 32, ())
+
+
+def level_sql(k: int, m: int, aa: bool = False, keys: str = "seq_id", sub: str = "") -> str:
+    """SetSketch registers by ``keys``: the largest level of the distinct codes, slot by slot."""
+    if aa:
+        code = "(" + " + ".join(f"(CASE substr(kmer, {i + 1}, 1) {AA_CODES} END)::BIGINT * {32 ** (k - 1 - i)}" for i in range(k)) + ")::BIGINT"
+    else:
+        code = S.code("kmer", k)
+    lead = f"{keys}, " if keys else ""
+    group = f"{sub or keys} AS {keys}, " if keys else ""
+    own = f"c AS (SELECT *, h AS ch FROM {S.mix64(f'(SELECT DISTINCT {group}{code} AS code FROM k)', 'code')})"
+    slots = f"r AS (SELECT slot, h AS sh FROM {S.mix64(f'(SELECT range AS slot, range + 7 AS place FROM range({m}))', 'place')})"
+    u = f"u AS (SELECT {lead}slot, ((h >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992.0::DOUBLE AS u FROM {S.mix64(f'(SELECT {lead}slot, xor(ch, sh) AS x FROM c, r)', 'x')})"
+    level = f"greatest(0, least({SK.SET_Q + 1}, floor(1 - ln(-ln(u) / {SK.SET_A}::DOUBLE) / {math.log(SK.SET_B)!r}::DOUBLE)))"
+    return with_(S.AA if aa else S.D, S.k_cte(k, not aa), own, slots, u) + f"SELECT {lead}slot, max({level})::BIGINT AS value FROM u GROUP BY {lead}slot"
 
 
 def _signature(name: str, algo: str, aa: bool = False):
-    @query(name)
+    k = 5 if aa else 12
+
+    @query(name, level_sql(k, 64, aa) if algo == "HLL" else None)
     def _(spark, sf):
         src = aas(spark, sf) if aa else seqs(spark, sf)
-        return SK.sketch(src, SK.SketchParams(5 if aa else 12, 64, algo, "AA" if aa else "DNA")).select("seq_id", F.posexplode("sig").alias("slot", "value"))
+        return SK.sketch(src, SK.SketchParams(k, 64, algo, "AA" if aa else "DNA")).select("seq_id", F.posexplode("sig").alias("slot", "value"))
 
 
 for _algo, _stem in (("PROB3A", "sk_prob3a_kernel"), ("PROB3", "sk_prob3"), ("SUPER", "sk_super"), ("SUPER2", "sk_super2"), ("OPTDENS", "sk_optdens"), ("REVOPTDENS", "sk_revoptdens"), ("HLL", "sk_hll")):
@@ -776,14 +860,17 @@ for _algo, _stem in (("PROB3A", "sk_prob3a_kernel"), ("PROB3", "sk_prob3"), ("SU
     _signature(f"aa_{_stem}", _algo, True)
 
 
-def _signature_all(name: str, algo: str):
-    @query(name)
+def _signature_all(name: str, algo: str, aa: bool = False):
+    k = 5 if aa else 12
+
+    @query(name, level_sql(k, 64, aa, "") if algo == "HLL" else None)
     def _(spark, sf):
-        return SK.sketch_all(seqs(spark, sf), SK.SketchParams(12, 64, algo))
+        return SK.sketch_all(aas(spark, sf) if aa else seqs(spark, sf), SK.SketchParams(k, 64, algo, "AA" if aa else "DNA"))
 
 
-for _algo, _stem in (("SUPER", "sk_super_seqs"), ("SUPER2", "sk_super2_seqs"), ("OPTDENS", "sk_optdens_seqs"), ("REVOPTDENS", "sk_revoptdens_seqs"), ("HLL", "sk_hll_seqs")):
+for _algo, _stem in (("PROB3A", "sk_prob3a_kernel_seqs"), ("SUPER", "sk_super_seqs"), ("SUPER2", "sk_super2_seqs"), ("OPTDENS", "sk_optdens_seqs"), ("REVOPTDENS", "sk_revoptdens_seqs"), ("HLL", "sk_hll_seqs")):
     _signature_all(_stem, _algo)
+    _signature_all(f"aa_{_stem}", _algo, True)
 
 
 @query("sk_super_range")
@@ -797,7 +884,7 @@ def _(spark, sf):
     return SK.one_permutation_bins(seqs(spark, sf), 12, 64)
 
 
-@query("sk_hll_block")
+@query("sk_hll_block", level_sql(12, 64, keys="part", sub="seq_id % 4"))
 def _(spark, sf):
     return SK.merge(SK.sketch(seqs(spark, sf), SK.SketchParams(12, 64, "HLL")).withColumn("part", F.col("seq_id") % 4), "max", ("part",))
 
@@ -817,13 +904,6 @@ def _(spark, sf):
     return SK.merge(SK.sketch(seqs(spark, sf), SK.SketchParams(12, 64, "SUPER")).withColumn("part", F.col("seq_id") % 4), "min", ("part",))
 
 
-@query("src_sig")
-def _(spark, sf):
-    b = K.kmers(seqs(spark, sf), 8, True).select("seq_id", (SK.code_hash(F.col("kmer")) % 16).cast("int").alias("slot"), SK.code_hash(F.col("kmer")).alias("h"))
-    per = b.groupBy("seq_id").agg(F.array(*[F.coalesce(F.min(F.when(F.col("slot") == i, F.col("h"))), F.lit(0xFFFFFFFF)) for i in range(16)]).alias("sig"))
-    return per.select("seq_id", F.posexplode("sig").alias("slot", "value"))
-
-
 # --- similarity ------------------------------------------------------------------------------------------
 
 #: The query sequence of the one-against-all forms.
@@ -903,24 +983,31 @@ def _(spark, sf):
     return slot_pairs(spark, sf).groupBy("a", "b").agg((1 - F.count("*") / 8).alias("dist"))
 
 
-@query("dist_block")
+BLOCK_PAIRS = " SELECT a.seq_id AS a_seq_id, a.block_no AS a_block_no, b.seq_id AS b_seq_id, b.block_no AS b_block_no, 1 - count(*) / 16.0::DOUBLE AS dist FROM v a JOIN v b ON a.slot = b.slot AND a.value = b.value AND a.seq_id < b.seq_id GROUP BY ALL"
+
+
+@query("dist_block", block_sql(8, 16, 100) + BLOCK_PAIRS)
 def _(spark, sf):
     # All pairs of blocks; those without a row, as all of one sequence, have distance 1.
-    rows = SK.block_sketch(seqs(spark, sf), 8, 16, 100).select("seq_id", "block_no", F.posexplode("sig").alias("slot", "value"))
+    rows = SK.block_race(seqs(spark, sf), 8, 16, 100).select("seq_id", "block_no", F.posexplode("sig").alias("slot", "value"))
     met = SI.agreements(rows, ("seq_id", "block_no")).filter("a_seq_id <> b_seq_id")
     return met.groupBy("a_seq_id", "a_block_no", "b_seq_id", "b_block_no").agg((1 - F.count("*") / 16).alias("dist"))
 
 
-DIST_SQL = bottom_sql(8, 30, tail="")[:-1] + (
-    ", p AS (SELECT 0 AS seq_id, '" + PROBE_SEQ + "' AS seq), " + S.k_cte(8, True, src="p", name="pk") + ", ph AS (SELECT DISTINCT h AS hash FROM " + S.inv32(f"(SELECT {S.code('kmer', 8)} AS code FROM pk)", "code") + " ORDER BY hash LIMIT 30)"
-    ", un AS (SELECT seq_id, hash, 1 AS mine, 0 AS its FROM b UNION ALL SELECT i.seq_id, ph.hash, 0, 1 FROM (SELECT DISTINCT seq_id FROM b) i, ph)"
-    ", m AS (SELECT * FROM (SELECT seq_id, hash, max(mine) AS mine, max(its) AS its FROM un GROUP BY seq_id, hash) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY hash) <= 30)"
-    " SELECT seq_id, CASE WHEN sum(mine) > 0 THEN sum(mine * its) / sum(mine)::DOUBLE ELSE 0 END AS containment, sum(mine * its) / count(*)::DOUBLE AS jaccard, sum(mine * its)::BIGINT AS common, count(*) AS total FROM m GROUP BY seq_id"
-)
+def distance_sql(k: int, mix: Callable = S.inv32) -> str:
+    return bottom_sql(k, 30, tail="", mix=mix)[:-1] + (
+        ", p AS (SELECT 0 AS seq_id, '" + PROBE_SEQ + "' AS seq), " + S.k_cte(k, True, src="p", name="pk") + ", ph AS (SELECT DISTINCT h AS hash FROM " + mix(f"(SELECT {S.code('kmer', k)} AS code FROM pk)", "code") + " ORDER BY hash LIMIT 30)"
+        ", un AS (SELECT seq_id, hash, 1 AS mine, 0 AS its FROM b UNION ALL SELECT i.seq_id, ph.hash, 0, 1 FROM (SELECT DISTINCT seq_id FROM b) i, ph)"
+        ", m AS (SELECT * FROM (SELECT seq_id, hash, max(mine) AS mine, max(its) AS its FROM un GROUP BY seq_id, hash) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY hash) <= 30)"
+        " SELECT seq_id, CASE WHEN sum(mine) > 0 THEN sum(mine * its) / sum(mine)::DOUBLE ELSE 0 END AS containment, sum(mine * its) / count(*)::DOUBLE AS jaccard, sum(mine * its)::BIGINT AS common, count(*) AS total FROM m GROUP BY seq_id"
+    )
+
+
+DIST_SQL = distance_sql(8)
 
 
-def _bottom_pair(spark, sf):
-    return SK.minhash(seqs(spark, sf), 8, 30), SK.minhash(probe(spark), 8, 30)
+def _bottom_pair(spark, sf, k=8, hash_fn=SK.code_hash):
+    return SK.minhash(seqs(spark, sf), k, 30, hash_fn), SK.minhash(probe(spark), k, 30, hash_fn)
 
 
 @query("dist_minhash", DIST_SQL)
@@ -929,10 +1016,10 @@ def _(spark, sf):
     return SI.minhash_distance(own, other, 30)
 
 
-@query("dist_mininvhash", DIST_SQL)
+@query("dist_mininvhash", distance_sql(9, S.inv64))
 def _(spark, sf):
-    own, other = _bottom_pair(spark, sf)
-    return SI.minhash_distance(own.orderBy("seq_id", "hash"), other, 30)
+    own, other = _bottom_pair(spark, sf, 9, code_hash64)
+    return SI.minhash_distance(own, other, 30)
 
 
 @query("set_intersect_hash", DIST_SQL.split(", un AS")[0] + " SELECT b.seq_id, b.hash FROM b JOIN ph USING (hash)")

@@ -50,6 +50,34 @@ def inv32(src: str, col: str, out: str = "h") -> str:
     return f"({sql})"
 
 
+def mix64(src: str, col: str, out: str = "h") -> str:
+    """Sub-select of ``src`` with the 64-bit mix of ``col`` as unsigned ``out``."""
+    times = lambda x, f: f"(({x}::UHUGEINT * {f}::UHUGEINT) & 18446744073709551615::UHUGEINT)::UBIGINT"
+    steps = [
+        f"SELECT *, ((18446744073709551615::UHUGEINT - {col}::UHUGEINT + {col}::UHUGEINT * 2097152::UHUGEINT) & 18446744073709551615::UHUGEINT)::UBIGINT AS y1 FROM {src}",
+        "SELECT *, xor(y1, y1 >> 24) AS y2",
+        f"SELECT *, {times('y2', 265)} AS y3",
+        "SELECT *, xor(y3, y3 >> 14) AS y4",
+        f"SELECT *, {times('y4', 21)} AS y5",
+        "SELECT *, xor(y5, y5 >> 28) AS y6",
+        f"SELECT * EXCLUDE (y1, y2, y3, y4, y5, y6), {times('y6', 2147483649)} AS {out}",
+    ]
+    sql = steps[0]
+    for s in steps[1:]:
+        sql = f"{s} FROM ({sql})"
+    return f"({sql})"
+
+
+def signed(x: str) -> str:
+    """An unsigned 64-bit value read as a long."""
+    return f"(CASE WHEN {x} >= 9223372036854775808::UBIGINT THEN {x}::HUGEINT - 18446744073709551616::HUGEINT ELSE {x}::HUGEINT END)::BIGINT"
+
+
+def inv64(src: str, col: str, out: str = "h") -> str:
+    """Sub-select of ``src`` with the 64-bit mix of ``col`` as a long ``out``."""
+    return f"(SELECT * EXCLUDE (z), {signed('z')} AS {out} FROM {mix64(src, col, 'z')})"
+
+
 def nthash(x: str, k: int, reverse: bool = False) -> str:
     out = "0::UBIGINT"
     for i in range(k):

@@ -1,14 +1,15 @@
 """Files in and out."""
 
 import gzip
+import os
 
 import pytest
 
-from strandwise.operators import anchors, counting, similarity, sketch, statistics
+from strandwise.operators import anchors, counting, kmers, similarity, sketch, statistics
 from strandwise.sources import dumps, fastx
 from strandwise.streaming.counts import read_stream, streaming_counts
 
-from .samples import DNA80
+from .samples import AMINO_A, DNA80, HALF_A
 
 FASTQ = "@r1 x\nACGT\n+\nIIII\n@r2\nACNN\n+\n@@@@\n@r3\nggta\n+r3\n!!!!\n"
 FASTA = ">a one\nACGT\nACG\n>b\n\nTT TT\n>c\nACGX\n"
@@ -95,12 +96,49 @@ def test_binary_round_trips(spark, tmp_path):
     once = counting.unique_kmers(df, 12)
     assert sorted(dumps.unique_from_binary(dumps.unique_to_binary(once, 12), "data").collect()) == sorted(once.collect())
     sig = sketch.sketch(df, sketch.SketchParams(12, 16, "PROB3A"))
-    assert [r["sig"] for r in dumps.signatures_from_binary(dumps.signatures_to_binary(sig, 12), "data").orderBy("idx").collect()] == [r["sig"] for r in sig.orderBy("seq_id").collect()]
+    parts = dumps.signatures_to_binary(sig, 12).orderBy("part").coalesce(1)
+    assert [r["sig"] for r in dumps.signatures_from_binary(parts, "data").collect()] == [r["sig"] for r in sig.orderBy("seq_id").collect()]
     bad = spark.createDataFrame([(bytearray(20),)], "data binary")
     with pytest.raises(Exception, match="not a dump"):
         dumps.multi_from_binary(bad, "data").count()
 
 
+def test_wide_and_amino_acid_dumps(spark):
+    df = seqs(spark, DNA80, DNA80[:60])
+    for k in (16, 17, 31, 32):
+        counts = counting.kmer_counts(df, k)
+        assert sorted(dumps.multi_from_binary(dumps.multi_to_binary(counts, k), "data").collect()) == sorted(counts.filter("cnt >= 2").collect())
+    proteins = seqs(spark, AMINO_A, AMINO_A)
+    for k in (1, 6, 7, 12):
+        counts = kmers.kmers(proteins, k).groupBy("kmer").count().withColumnRenamed("count", "cnt")
+        data = dumps.multi_to_binary(counts, k, "AA")
+        assert sorted(dumps.multi_from_binary(data, "data", "AA").collect()) == sorted(counts.filter("cnt >= 2").collect())
+        places = kmers.kmers(seqs(spark, AMINO_A), k).select("kmer", "seq_id", "pos")
+        assert sorted(dumps.unique_from_binary(dumps.unique_to_binary(places, k, "AA"), "data", "AA").collect()) == sorted(places.collect())
+
+
+def test_dumps_lie_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dumps, "PART_ROWS", 4)
+    blocks = sketch.block_race(seqs(spark, DNA80, "ACG", HALF_A), 6, 8, 10)
+    rows = blocks.orderBy("seq_id", "block_no").collect()
+    assert len(rows) == 14
+    n = dumps.write_files(dumps.blocks_to_binary(blocks, 6, 10), str(tmp_path / "d"))
+    files = [f for f in os.listdir(tmp_path / "d") if not f.startswith(("_", "."))]
+    assert len(files) == n >= 4
+    back = dumps.blocks_from_binary(spark.read.format("binaryFile").load(str(tmp_path / "d")))
+    assert [(r["seq_id"], r["block_no"], r["sig"]) for r in back.orderBy("seq_id", "block_no").collect()] == [(r["seq_id"], r["block_no"], r["sig"]) for r in rows]
+    assert {(r["k"], r["block"]) for r in back.collect()} == {(6, 10)}
+
+
+def test_values_beyond_a_layout_are_errors(spark):
+    sig = spark.createDataFrame([(0, [1 << 40])], "seq_id long, sig array<long>")
+    with pytest.raises(Exception, match="32-bit"):
+        dumps.signatures_to_binary(sig, 8).count()
+    far = spark.createDataFrame([("ACGT", 1 << 40, 0)], "kmer string, seq_id long, pos int")
+    with pytest.raises(Exception, match="too large"):
+        dumps.unique_to_binary(far, 4).count()
+
+
 def test_streaming_counts(spark, tmp_path):
     for k, text in enumerate(("ACGTACGT", "ttacgtxx")):
         spark.createDataFrame([(k, text)], "doc_id long, text string").write.parquet(str(tmp_path / f"in/{k}"))

@@ -107,6 +107,14 @@ def nt_by_hand(text):
     return h
 
 
+@pytest.mark.parametrize("k", [1, 10, 31, 64, 70])
+def test_rolling_nthash(spark, k):
+    text = DNA80 * 3
+    got = {r["pos"]: (r["forward"], r["reverse"]) for r in kmers.rolling_nthash(seqs(spark, text, "", "ACG"[: min(3, k - 1)]), k).filter("seq_id = 0").collect()}
+    rows = kmers.kmers(seqs(spark, text), k).select("pos", H.nthash(F.col("kmer"), k).alias("f"), H.nthash(F.col("kmer"), k, True).alias("r"))
+    assert got == {r["pos"]: (r["f"], r["r"]) for r in rows.collect()} and len(got) == 240 - k + 1
+
+
 def test_nthash(spark):
     forward = one(spark, H.unsigned_text(H.nthash(F.col("s"), 16)), s=DNA80[:16])
     back = one(spark, H.unsigned_text(H.nthash(F.col("s"), 16, True)), s=DNA80[:16])

@@ -119,3 +119,73 @@ def test_parameters():
     for bad in ({"algo": "NONE"}, {"data_type": "RNA"}):
         with pytest.raises(ValueError):
             SK.SketchParams(8, 32, **bad)
+
+
+def draw(code, step, seed):
+    """The kernels' uniform numbers, one at a time."""
+    return float(SK._uniform(np.array([code], np.uint64), np.array([step]), seed)[0, 0])
+
+
+def prob_by_hand(counts, m):
+    """ProbMinHash3, one element after another."""
+    least, who = [np.inf] * m, [0] * m
+    rate = np.log(m / (m - 1))
+    for code, weight in sorted(counts.items()):
+        i = 0
+        while i / weight < max(least):
+            time = (i - np.log1p(-draw(code, i, 1) / m) / rate) / weight
+            slot = int(draw(code, i, 1001) * m)
+            if time < least[slot]:
+                least[slot], who[slot] = time, code
+            i += 1
+    return who
+
+
+def super_by_hand(codes, m):
+    """SuperMinHash with whole permutations and no early end."""
+    out = [np.inf] * m
+    for code in codes:
+        perm = list(range(m))
+        for j in range(m):
+            k = j + int(draw(code, j, 3) * (m - j))
+            perm[j], perm[k] = perm[k], perm[j]
+            out[perm[j]] = min(out[perm[j]], j + draw(code, j, 1003))
+    return out
+
+
+@pytest.mark.parametrize("m", [2, 7, 32])
+@pytest.mark.parametrize("text,k,aa", [(DNA80, 5, False), (HALF_A, 6, False), (AMINO_A, 3, True), ("A" * 40, 4, False)])
+def test_kernels_by_hand(text, k, aa, m):
+    codes = SK._codes(text, k, aa, not aa)
+    counts = Counter(codes.tolist())
+    assert SK.prob_kernel(codes, m).tolist() == prob_by_hand(counts, m)
+    assert SK.super_kernel(codes, m).tolist() == super_by_hand(counts, m)
+    assert len(SK.prob_kernel(codes, 1)) == 1
+
+
+def test_first_points_are_exponential():
+    """Two elements of weights 1 and 3 win slots in that proportion."""
+    won = [SK.first_points(np.array([2 * i, 2 * i + 1], np.uint64), np.array([1, 3]), 16)[1] % 2 for i in range(400)]
+    assert np.mean(won) == pytest.approx(0.75, abs=0.02)
+
+
+@pytest.mark.parametrize("algo", ["PROB3A", "PROB3", "SUPER", "SUPER2", "OPTDENS", "REVOPTDENS", "HLL"])
+@pytest.mark.parametrize("k,aa", [(6, False), (20, False), (32, False), (4, True), (12, True)])
+def test_one_signature_for_all_is_that_of_all_kmers(spark, algo, k, aa):
+    texts = (AMINO_A, AMINO_B, AMINO_A, "") if aa else (HALF_A, DNA80, DNA80, "")
+    got = SK.sketch_all(seqs(spark, *texts), SK.SketchParams(k, 32, algo, "AA" if aa else "DNA")).orderBy("slot").collect()
+    codes = np.concatenate([SK._codes(x, k, aa, not aa) for x in texts])
+    assert [r["value"] for r in got] == pytest.approx(list(SK.KERNELS[algo][0](codes, 32)), rel=0, abs=0)
+
+
+def test_one_signature_for_nothing(spark):
+    assert SK.sketch_all(seqs(spark, "", "AC"), SK.SketchParams(6, 8, "PROB3A")).count() == 0
+
+
+@pytest.mark.parametrize("k,aa", [(1, False), (16, False), (32, False), (1, True), (12, True)])
+def test_codes_of_words_and_back(k, aa):
+    text = AMINO_A if aa else DNA80 + "T" * 32
+    own = [text[i : i + k] for i in range(len(text) - k + 1)]
+    codes = SK.word_codes(own, k, aa)
+    assert codes.tolist() == SK._codes(text, k, aa, False).tolist()
+    assert SK.code_words(codes, k, aa) == own
