@@ -58,8 +58,10 @@ def probability_jaccard(weights: DataFrame, query: DataFrame) -> DataFrame:
 
 
 def sketch_similarity(sigs: DataFrame, query_sig: DataFrame) -> DataFrame:
-    """(seq_id, sim): share of equal slots with one query signature (a single row, sent to all tasks)."""
-    return sigs.crossJoin(F.broadcast(query_sig.select(F.col("sig").alias("_q")))).select("seq_id", slot_similarity(F.col("sig"), F.col("_q")).alias("sim"))
+    """(seq_id, sim): share of equal slots with one query signature, sent to all tasks; several are an error."""
+    only = F.when(F.count("*") <= 1, F.first("sig")).otherwise(F.raise_error(F.lit("more than one query signature")))
+    one = query_sig.agg(only.alias("_q")).filter("_q IS NOT NULL")
+    return sigs.crossJoin(F.broadcast(one)).select("seq_id", slot_similarity(F.col("sig"), F.col("_q")).alias("sim"))
 
 
 def minhash_distance(sketches: DataFrame, query: DataFrame, size: int) -> DataFrame:
@@ -70,7 +72,8 @@ def minhash_distance(sketches: DataFrame, query: DataFrame, size: int) -> DataFr
     """
     ids = sketches.select("seq_id").distinct()
     own = sketches.select("seq_id", "hash", F.lit(1).alias("mine"), F.lit(0).alias("its"))
-    other = ids.crossJoin(F.broadcast(query.select("hash"))).select("seq_id", "hash", F.lit(0).alias("mine"), F.lit(1).alias("its"))  # at most ``size`` hashes
+    few = query.select("hash").orderBy("hash").limit(size)  # larger ones can't be among the union's ``size`` smallest
+    other = ids.crossJoin(F.broadcast(few)).select("seq_id", "hash", F.lit(0).alias("mine"), F.lit(1).alias("its"))
     union = own.union(other).groupBy("seq_id", "hash").agg(F.max("mine").alias("mine"), F.max("its").alias("its"))
     top = union.withColumn("r", F.row_number().over(W.partitionBy("seq_id").orderBy("hash"))).filter(F.col("r") <= size)
     out = top.groupBy("seq_id").agg(F.sum(F.col("mine") * F.col("its")).cast("long").alias("common"), F.count("*").alias("total"), F.sum("mine").alias("n_mine"))

@@ -986,14 +986,23 @@ def _(spark, sf):
 BLOCK_PAIRS = " SELECT a.seq_id AS a_seq_id, a.block_no AS a_block_no, b.seq_id AS b_seq_id, b.block_no AS b_block_no, 1 - count(*) / 16.0::DOUBLE AS dist FROM v a JOIN v b ON a.slot = b.slot AND a.value = b.value AND a.seq_id < b.seq_id GROUP BY ALL"
 
 
-@query("dist_block", block_sql(8, 16, 100) + BLOCK_PAIRS)
-def _(spark, sf):
+def block_distances(sigs):
     # All pairs of blocks; those without a row, as all of one sequence, have distance 1.
-    rows = SK.block_race(seqs(spark, sf), 8, 16, 100).select("seq_id", "block_no", F.posexplode("sig").alias("slot", "value"))
+    rows = sigs.select("seq_id", "block_no", F.posexplode("sig").alias("slot", "value"))
     met = SI.agreements(rows, ("seq_id", "block_no")).filter("a_seq_id <> b_seq_id")
     return met.groupBy("a_seq_id", "a_block_no", "b_seq_id", "b_block_no").agg((1 - F.count("*") / 16).alias("dist"))
 
 
+@query("dist_block")
+def _(spark, sf):
+    return block_distances(SK.block_sketch(seqs(spark, sf), 8, 16, 100))
+
+
+@query("dist_block_race", block_sql(8, 16, 100) + BLOCK_PAIRS)
+def _(spark, sf):
+    return block_distances(SK.block_race(seqs(spark, sf), 8, 16, 100))
+
+
 def distance_sql(k: int, mix: Callable = S.inv32) -> str:
     return bottom_sql(k, 30, tail="", mix=mix)[:-1] + (
         ", p AS (SELECT 0 AS seq_id, '" + PROBE_SEQ + "' AS seq), " + S.k_cte(k, True, src="p", name="pk") + ", ph AS (SELECT DISTINCT h AS hash FROM " + mix(f"(SELECT {S.code('kmer', k)} AS code FROM pk)", "code") + " ORDER BY hash LIMIT 30)"

@@ -189,3 +189,44 @@ def test_codes_of_words_and_back(k, aa):
     codes = SK.word_codes(own, k, aa)
     assert codes.tolist() == SK._codes(text, k, aa, False).tolist()
     assert SK.code_words(codes, k, aa) == own
+
+
+def test_densification_by_hand():
+    none = np.iinfo(np.int64).max
+    for m, k in ((8, 2), (64, 5), (101, 60)):
+        bins = np.full(m, none)
+        bins[(np.arange(k) * 37 + 5) % m] = np.arange(k) + 1000
+        mix = lambda x: int(SK.mix64(np.array([x], np.uint64))[0])
+        want = []
+        for i, v in enumerate(bins):
+            t = 1
+            while v == none:
+                v, t = bins[mix(i * 0x10001 + t) % m], t + 1
+            want.append(v)
+        assert SK.densify(bins).tolist() == want
+        back, t = bins.tolist(), 1
+        while none in back:
+            for i in range(m):
+                to = mix(i * 0x20003 + t) % m
+                if bins[i] != none and back[to] == none:
+                    back[to] = bins[i]
+            t += 1
+        assert SK.densify_reverse(bins).tolist() == back
+
+
+def test_integers_of_superminhash_and_blocks_by_hand(spark):
+    codes = SK._codes(DNA80, 8, False, True)
+    assert SK.super2_kernel(codes, 16).tolist() == [int(x * (1 << 31)) for x in SK.super_kernel(codes, 16, 5)]
+    got = SK.block_sketch(seqs(spark, DNA80), 8, 16, 30).orderBy("block_no").collect()
+    assert [r["sig"] for r in got] == [SK.prob_kernel(codes[i : i + 30], 16).tolist() for i in (0, 30, 60)]
+
+
+@pytest.mark.parametrize("algo", ["PROB3A", "PROB3"])
+def test_one_against_all_by_hand(spark, algo):
+    p = SK.SketchParams(6, 32, algo)
+    texts = (DNA80, HALF_A, DNA80[:50], "ACG")
+    got = SI.sketch_similarity(SK.sketch(seqs(spark, *texts), p), SK.sketch(seqs(spark, DNA80), p)).toPandas().set_index("seq_id").iloc[:, 0].to_dict()
+    sig = [SK.prob_kernel(SK._codes(x, 6, False, True), 32) for x in texts[:3]]
+    assert got == pytest.approx({i: float((s == sig[0]).mean()) for i, s in enumerate(sig)})
+    with pytest.raises(Exception, match="more than one"):
+        SI.sketch_similarity(SK.sketch(seqs(spark, *texts), p), SK.sketch(seqs(spark, *texts), p)).count()
