@@ -8,7 +8,7 @@ import pytest
 from strandwise.operators import kmers as K
 from strandwise.operators import similarity as SI
 from strandwise.operators import sketch as SK
-from strandwise.plans.queries import QUERIES, seqs
+from strandwise.plans.queries import QUERIES, seqs, slot_values
 
 
 def classes(spark, sf, k):
@@ -82,14 +82,47 @@ def test_pairs_do_not_depend_on_the_order_of_ids(spark):
     assert got == {(a, b, s, x) for a, b in [(2, 5), (2, 40), (5, 40), (2, 9)] for s, (x, y) in enumerate(zip(sigs[a], sigs[b], strict=True)) if x == y}
 
 
+def counted(rows, m, apart=lambda key: key):
+    """{key: (class, numbers of others with 1, 2, ... equal slots)} by brute force over {key: signature}."""
+    keys, every = sorted(rows), np.array([rows[k] for k in sorted(rows)])
+    out = {}
+    for k in keys:
+        equal = (every == rows[k]).sum(axis=1)
+        other = np.array([apart(x) != apart(k) for x in keys])
+        out[k] = (next(x for x, e in zip(keys, equal, strict=True) if e == m), tuple(np.bincount(equal[other], minlength=m + 1)[1:].tolist()))
+    return out
+
+
+def test_links_count_copies_and_all_members_of_classes(spark):
+    sigs = {2: [1, 2, 3, 4], 9: [1, 2, 3, 4], 5: [1, 2, 7, 8], 6: [1, 2, 7, 8], 40: [0, 2, 7, 7], 77: [9, 9, 9, 9]}
+    df = spark.createDataFrame(list(sigs.items()), "seq_id long, sig array<long>")
+    got = {r["seq_id"]: (r["class"], tuple(r[f"n_{j}"] for j in range(1, 5))) for r in SI.link_counts(df, 4).collect()}
+    assert got == counted(sigs, 4)
+    assert got[9] == (2, (1, 2, 0, 1)) and got[77] == (77, (0, 0, 0, 0))
+
+
+def test_links_of_large_groups_and_of_one_sequence(spark):
+    rnd = np.random.default_rng(3)
+    sigs = {(int(i) // 9, int(i) % 9): rnd.integers(0, 3, 5).tolist() for i in range(1500)}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in sigs.items()], "seq_id long, block_no int, sig array<long>")
+    for apart in (None, "seq_id"):
+        rows = SI.link_counts(df, 5, ("seq_id", "block_no"), apart).collect()
+        got = {(r[0], r[1]): ((r[2], r[3]), tuple(r[f"n_{j}"] for j in range(1, 6))) for r in rows}
+        assert got == counted(sigs, 5, (lambda k: k[0]) if apart else (lambda k: k))
+
+
+@pytest.mark.parametrize("name", ["sim_slots", "dist_hamming", "set_intersect_sig"])
+def test_every_sequence_has_all_its_links(spark, sf, name):
+    sigs = {}
+    for r in slot_values(spark, sf).collect():
+        sigs.setdefault(r["seq_id"], [0] * 8)[r["slot"]] = r["value"]
+    want = counted(sigs, 8)
+    got = {r["seq_id"]: (r["class"], tuple(r[f"n_{j}"] for j in range(1, 9))) for r in QUERIES[name](spark, sf).collect()}
+    assert got == want and any(k != v[0] for k, v in want.items())
+
+
 def test_block_distances_of_all_pairs(spark, sf):
-    sig = [(r["seq_id"], r["block_no"], np.array(r["sig"])) for r in SK.block_sketch(seqs(spark, sf), 8, 16, 100).collect()]
-    every = np.array([s for _, _, s in sig])
-    n = {}
-    for q, i, s in sig[::50]:
-        for j in np.flatnonzero((every == s).any(axis=1)):
-            if sig[j][0] != q:
-                n[frozenset([(q, i), sig[j][:2]])] = 1 - (every[j] == s).mean()
-    got = {frozenset([(r[0], r[1]), (r[2], r[3])]): r[4] for r in QUERIES["dist_block"](spark, sf).collect()}
-    asked = {(q, i) for q, i, _ in sig[::50]}
-    assert {k: v for k, v in got.items() if k & asked} == pytest.approx(n)
+    sigs = {(r["seq_id"], r["block_no"]): r["sig"] for r in SK.block_sketch(seqs(spark, sf), 8, 16, 100).collect()}
+    rows = QUERIES["dist_block"](spark, sf).collect()
+    assert {(r[0], r[1]): ((r[2], r[3]), tuple(r[f"n_{j}"] for j in range(1, 17))) for r in rows} == counted(sigs, 16, lambda k: k[0])
+    assert all(r["sum_dist"] == sum(r[f"n_{j}"] * (16 - j) for j in range(1, 17)) / 16 for r in rows)
