@@ -10,7 +10,7 @@ from strandwise.operators import kmers as K
 from strandwise.operators import similarity as SI
 from strandwise.operators import sketch as SK
 
-from .samples import AMINO_A, AMINO_B, DNA80, HALF_A, HALF_B, words
+from .samples import AMINO_A, AMINO_B, DNA80, HALF_A, HALF_B, PEPTIDE, words
 
 
 def seqs(spark, *texts):
@@ -230,3 +230,24 @@ def test_one_against_all_by_hand(spark, algo):
     assert got == pytest.approx({i: float((s == sig[0]).mean()) for i, s in enumerate(sig)})
     with pytest.raises(Exception, match="more than one"):
         SI.sketch_similarity(SK.sketch(seqs(spark, *texts), p), SK.sketch(seqs(spark, *texts), p)).count()
+
+
+def test_batched_points_are_those_of_each_set_in_few_rounds(monkeypatch):
+    rnd = np.random.default_rng(8)
+    own = np.sort(rnd.integers(0, 9, 3000))
+    codes = rnd.integers(0, 300, 3000).astype(np.uint64) * np.uint64(977)
+    for m in (1, 16, 128):
+        got = SK.prob_batch(codes, own, 10, m, 20)
+        assert (got[:9] == np.stack([SK.prob_kernel(codes[own == i], m) for i in range(9)])).all() and (got[9] == 0).all()
+    calls, uniform = [], SK._uniform
+    monkeypatch.setattr(SK, "_uniform", lambda *a: calls.append(1) or uniform(*a))
+    best, _ = SK.first_points(np.array([5], np.uint64), np.array([4000]), 128)
+    assert np.isfinite(best).all() and len(calls) < 60  # one stretch a round would take over a thousand
+
+
+@pytest.mark.parametrize("k,aa", [(1, False), (5, False), (12, False), (31, False), (32, False), (5, True), (12, True)])
+def test_codes_of_batches(k, aa):
+    texts = [PEPTIDE, AMINO_A, "", AMINO_A[:k]] if aa else [DNA80, "", "ACG", HALF_A, HALF_A[:k]]
+    codes, owner, place = SK.batch_codes(texts, k, aa, not aa)
+    want = [(w, i, j) for i, t in enumerate(texts) for j, w in enumerate(words(t, k, not aa))]
+    assert [(int(c), int(i), int(j)) for c, i, j in zip(codes, owner, place, strict=True)] == [(int(SK.word_codes([w], k, aa)[0]), i, j) for w, i, j in want]
