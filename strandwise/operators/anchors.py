@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kmers import slice_kmers
-from .sketch import bottom_k, code_hash
+from .sketch import bottom_k, code_hash, slice_sketch
 
 
 def slice_anchors(seqs: DataFrame, k: int, window: int, overlap: int, size: int, hash_fn: Callable[[Column], Column] = code_hash, exclude_last: bool = True) -> DataFrame:
     """(seq_id, slicepos, rank, hash, cnt)."""
+    made = slice_sketch(seqs, k, window, overlap, size, hash_fn, exclude_last)
+    if made is not None:
+        return made
     rows = slice_kmers(seqs, k, window, overlap, True, exclude_last)
     return bottom_k(rows, size, hash_fn(F.col("kmer")), ("seq_id", "slicepos"))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise.operators import anchors as AN
 from strandwise.operators import kmers as K
 from strandwise.operators import similarity as SI
 from strandwise.operators import sketch as SK
@@ -251,3 +252,37 @@ def test_codes_of_batches(k, aa):
     codes, owner, place = SK.batch_codes(texts, k, aa, not aa)
     want = [(w, i, j) for i, t in enumerate(texts) for j, w in enumerate(words(t, k, not aa))]
     assert [(int(c), int(i), int(j)) for c, i, j in zip(codes, owner, place, strict=True)] == [(int(SK.word_codes([w], k, aa)[0]), i, j) for w, i, j in want]
+
+
+@pytest.fixture(scope="module")
+def repeated_ids(spark):
+    texts = [(0, DNA80), (1, HALF_A), (0, HALF_B), (2, "ACG"), (3, None), (4, "A" * 300 + DNA80 * 3), (1, "")]
+    return spark.createDataFrame(texts, "seq_id long, seq string")
+
+
+def same_rows(got, want):
+    assert got.dtypes == want.dtypes
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for each k-mer
+
+
+@pytest.mark.parametrize("k,hash_fn", [(12, SK.code_hash), (20, SK.code_hash64)])
+@pytest.mark.parametrize("span", [(0, None), (5, 60)])
+def test_bottom_k_in_batches(repeated_ids, k, hash_fn, span):
+    want = SK.bottom_k(K.kmers(repeated_ids, k, True, *span), 15, hash_fn(F.col("kmer")))
+    same_rows(SK.minhash(repeated_ids, k, 15, hash_fn, *span), want)
+
+
+@pytest.mark.parametrize("window,overlap,last", [(50, 10, True), (20, 15, False), (30, 0, True)])
+def test_slices_in_batches(repeated_ids, window, overlap, last):
+    rows = K.slice_kmers(repeated_ids, 8, window, overlap, True, last)
+    same_rows(AN.slice_anchors(repeated_ids, 8, window, overlap, 4, exclude_last=last), SK.bottom_k(rows, 4, SK.code_hash(F.col("kmer")), ("seq_id", "slicepos")))
+
+
+def test_block_race_and_bins_in_batches(repeated_ids):
+    weights = K.blocks(repeated_ids, 8, 30).groupBy("seq_id", "block_no", "kmer").agg(F.count("*").alias("weight"))
+    slots = SK.race(weights, 6, ("seq_id", "block_no")).groupBy("seq_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
+    same_rows(SK.block_race(repeated_ids, 8, 6, 30), slots.select("seq_id", "block_no", F.transform("s", lambda x: x["value"]).alias("sig")))
+    h = K.kmers(repeated_ids, 8, True).select("seq_id", SK.code_hash(F.col("kmer")).alias("h")).groupBy("seq_id")
+    bins = h.agg(F.array(*[F.coalesce(F.min(F.when(F.col("h") % 16 == i, F.col("h"))), F.lit(0xFFFFFFFF)) for i in range(16)]).alias("sig"))
+    same_rows(SK.bin_minima(repeated_ids, 8, 16), bins)
