@@ -286,3 +286,19 @@ def test_block_race_and_bins_in_batches(repeated_ids):
     h = K.kmers(repeated_ids, 8, True).select("seq_id", SK.code_hash(F.col("kmer")).alias("h")).groupBy("seq_id")
     bins = h.agg(F.array(*[F.coalesce(F.min(F.when(F.col("h") % 16 == i, F.col("h"))), F.lit(0xFFFFFFFF)) for i in range(16)]).alias("sig"))
     same_rows(SK.bin_minima(repeated_ids, 8, 16), bins)
+
+
+def test_registers_in_batches_hash_a_code_once(monkeypatch):
+    rnd = np.random.default_rng(4)
+    own = np.repeat(np.arange(50), 400)
+    codes = rnd.integers(0, 500, len(own)).astype(np.uint64) * np.uint64(7919)
+    hashed, mix = [0], SK.mix64
+    monkeypatch.setattr(SK, "mix64", lambda x: hashed.__setitem__(0, hashed[0] + x.size) or mix(x))
+    got = SK.set_batch(codes, own, 51, 32, 24)
+    assert hashed[0] <= 500 * 33 + 32
+    assert (got[50] == 0).all()
+    for i in range(50):
+        u = SK._uniform(np.unique(codes[own == i]), np.arange(32), 7)
+        level = np.floor(1 - np.log(-np.log(u) / SK.SET_A) / np.log(SK.SET_B))
+        assert (got[i] == np.clip(level, 0, SK.SET_Q + 1).max(axis=0)).all()
+        assert (got[i] == SK.set_kernel(codes[own == i], 32)).all()
