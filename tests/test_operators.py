@@ -10,9 +10,9 @@ from strandwise.functions import alphabet as A
 from strandwise.functions import hashing as H
 from strandwise.functions import quality as Q
 from strandwise.operators import anchors, counting, kmers, qualities, ranks, statistics
-from strandwise.sources import tables
+from strandwise.sources import dumps, tables
 
-from .samples import DNA72, DNA80, PEPTIDE, words
+from .samples import AMINO_A, DNA72, DNA80, PEPTIDE, words
 from .samples import reverse_complement as A_rc
 
 
@@ -213,3 +213,19 @@ def test_slices_and_anchors(spark):
 def test_return_times(spark):
     got = kmers.return_times(kmers.kmers(seqs(spark, "ACACAC"), 2)).collect()
     assert {(r["kmer"], r["pos"], r["gap"]) for r in got} == {("AC", 2, 2), ("AC", 4, 2), ("CA", 3, 2)}
+
+
+def test_counters_combine_before_the_shuffle(spark):
+    df = spark.createDataFrame([(i, DNA80 * 40) for i in range(40)] + [(99, None), (98, "AC")], "seq_id long, seq string")
+    got = counting.partitioned_counts(df, 13, 2)
+    want = counting.kmer_counts(df, 13)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # k-mers are summed before they are dealt out, and not to as few tasks as there are counters.
+    assert "hashpartitioning(kmer" not in plan and "hashpartitioning(bucket" in plan and "REPARTITION_BY_NUM" not in plan.split("hashpartitioning(bucket")[1].split("\n")[0]
+
+
+def test_codes_of_amino_acids_go_through_a_dump(spark):
+    df = spark.createDataFrame([(0, AMINO_A), (1, AMINO_A[20:]), (2, None), (3, "ACD")], "seq_id long, seq string")
+    back = dumps.multi_from_binary(dumps.multi_to_binary(counting.code_counts(df, 12, False, True), 12, "AA"), "data", "AA")
+    assert {r["kmer"]: r["cnt"] for r in back.collect()} == {AMINO_A[i : i + 12]: 2 for i in range(20, len(AMINO_A) - 11)}
