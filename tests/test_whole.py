@@ -47,6 +47,30 @@ def test_every_copy_is_linked_to_its_class(spark, sf, name, k):
     assert sorted((r["a"], r["b"]) for r in got) == sorted((i, min(v)) for v in groups for i in v)
 
 
+@pytest.mark.parametrize("values", [3, 40, 1000])
+def test_blocks_are_compared_once_for_both(values):
+    rnd = np.random.default_rng(values)
+    x, y = (np.minimum(rnd.geometric(2 / values, (n, 12)), values) for n in (400, 300))
+    near = (x[:, None] == y[None]).sum(axis=2)
+    least = [rnd.integers(1, 5, len(z)) for z in (x, y)]
+    for found, equal, at_least in zip(SI._nearest_across(x, y, *least, 6), (near, near.T), least, strict=True):
+        want = [(i, j, row[j]) for i, row in enumerate(equal) for j in np.argsort(-row, kind="stable")[:6] if row[j] >= at_least[i]]
+        assert list(zip(*(z.tolist() for z in found), strict=True)) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("values,n", [(4, 700), (300, 700), (300, 3)])
+def test_neighbours_are_exact_with_ties(spark, values, n):
+    rnd = np.random.default_rng(values)
+    sigs = np.minimum(rnd.geometric(2 / values, (n, 10)), values) + (0 if values == 4 else 1 << 40)
+    groups = {}
+    for i, s in enumerate(sigs.tolist()):
+        groups.setdefault(tuple(s), []).append(i)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sigs.tolist())], "seq_id long, sig array<long>")
+    got = SI.nearest(df, 5, blocks=8).collect()
+    assert {(r["a"], r["b"]): r["sim"] for r in got} == brute(groups, 5)
+    assert all(r["rank"] == 1 + sum((-o["sim"], o["b"]) < (-r["sim"], r["b"]) for o in got if o["a"] == r["a"]) for r in got[:50])
+
+
 def rc(x):
     return x[::-1].translate(str.maketrans("ACGT", "TGCA"))
 
