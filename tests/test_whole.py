@@ -47,8 +47,9 @@ def test_every_copy_is_linked_to_its_class(spark, sf, name, k):
     assert sorted((r["a"], r["b"]) for r in got) == sorted((i, min(v)) for v in groups for i in v)
 
 
-@pytest.mark.parametrize("values", [3, 40, 1000])
-def test_blocks_are_compared_once_for_both(values):
+@pytest.mark.parametrize("values,held", [(3, 1 << 20), (3, 50), (40, 500), (1000, 10)])
+def test_blocks_are_compared_once_for_both(monkeypatch, values, held):
+    monkeypatch.setattr(SI, "HELD", held)
     rnd = np.random.default_rng(values)
     x, y = (np.minimum(rnd.geometric(2 / values, (n, 12)), values) for n in (400, 300))
     near = (x[:, None] == y[None]).sum(axis=2)
