@@ -1,5 +1,6 @@
 """Queries do the whole job: results against brute force over every sequence or pair."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -136,6 +137,46 @@ def test_links_of_large_groups_and_of_one_sequence(spark):
         assert got == counted(sigs, 5, (lambda k: k[0]) if apart else (lambda k: k))
 
 
+@pytest.mark.parametrize("null", [False, True])
+def test_links_by_a_table_of_frequent_values(spark, monkeypatch, null):
+    monkeypatch.setattr(SI, "DIRECT", 100)
+    rnd = np.random.default_rng(4)
+    sigs = {(int(i) // 9, int(i) % 9): np.minimum(rnd.geometric(0.3, 5), 30).tolist() for i in range(1500)}
+    df = spark.createDataFrame([(None if null and a == 7 else a, b, s) for (a, b), s in sigs.items()], "seq_id long, block_no int, sig array<long>")
+    for apart in (None, "seq_id"):
+        rows = SI.link_counts(df, 5, ("seq_id", "block_no"), apart).collect()
+        got = {(7 if r[0] is None else r[0], r[1]): (r["n_links"], tuple(r[f"n_{j}"] for j in range(1, 6))) for r in rows}
+        want = counted(sigs, 5, (lambda k: k[0]) if apart else (lambda k: k))
+        assert got == {k: (sum(v), v) for k, (_, v) in want.items()}
+
+
+def by_pairs(values, weight):
+    out = np.zeros((len(values), values.shape[1] + 1), np.int64)
+    for i, v in enumerate(values):
+        equal = ((values == v) & (values >= 0)).sum(axis=1)
+        out[i] = np.bincount(equal, weight, values.shape[1] + 1)
+        out[i, equal[i]] -= weight[i]
+    return out
+
+
+@pytest.mark.parametrize("direct,n,kinds", [(8, 700, 3), (50, 700, 5), (64, 900, 40), (4096, 2500, 9), (4096, 400, 300), (4096, 90, 4)])
+def test_groups_are_split_without_loss(monkeypatch, direct, n, kinds):
+    monkeypatch.setattr(SI, "DIRECT", direct)
+    rnd = np.random.default_rng(kinds)
+    for m in (1, 3, 8, 16):
+        values = np.minimum(rnd.geometric(2 / kinds, (n, m)), kinds) - 1 - (rnd.random((n, m)) < 0.1)
+        weight = rnd.integers(1, 4, n)
+        assert (SI._solved(values, weight) == by_pairs(values, weight)).all()
+
+
+def test_many_near_copies_take_no_time_of_their_subsets():
+    rnd = np.random.default_rng(5)
+    values = np.where(rnd.random((6000, 16)) < 0.15, rnd.integers(1, 4000, (6000, 16)), 0)
+    weight, start = np.ones(6000, np.int64), time.process_time()
+    got = SI._each(values, weight, np.array([6000]))
+    assert time.process_time() - start < 20 and (got[:200] == by_pairs(values, weight)[:200]).all()
+
+
 @pytest.mark.parametrize("name", ["sim_slots", "dist_hamming", "set_intersect_sig"])
 def test_every_sequence_has_all_its_links(spark, sf, name):
     sigs = {}
