@@ -288,6 +288,32 @@ def test_block_race_and_bins_in_batches(repeated_ids):
     same_rows(SK.bin_minima(repeated_ids, 8, 16), bins)
 
 
+@pytest.mark.parametrize("k,m", [(1, 3), (6, 8), (8, 8), (12, 5)])
+def test_race_of_sequences_in_batches(repeated_ids, k, m):
+    slots = SK.race(K.kmer_weights(repeated_ids, k, True), m).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("s"))
+    same_rows(SK.race_sketch(repeated_ids, k, m), slots.select("seq_id", F.transform("s", lambda x: x["value"]).alias("sig")))
+
+
+@pytest.mark.parametrize("piece", [1, 7, 100, 1 << 20])
+@pytest.mark.parametrize("k", [3, 6, 31])
+def test_weights_do_not_depend_on_pieces(piece, k):
+    texts = [[DNA80, HALF_A], [], ["ACG", ""], [DNA80 * 3 + "A" * 50], [HALF_B]]
+    want = Counter((i, w) for i, x in enumerate(texts) for s in x for w in words(s, k, True))
+    code, owner, weight = SK.weighted(texts, k, piece)
+    assert list(zip(owner.tolist(), SK.code_words(code, k, False), weight.tolist(), strict=True)) == [(*key, n) for key, n in sorted(want.items())]
+    assert all(len(x) == 0 for x in SK.weighted([[], ["AC"]], k, piece))
+
+
+@pytest.mark.parametrize("k,m", [(6, 8), (8, 8)])
+def test_race_times_are_those_of_the_expressions(spark, k, m):
+    code = spark.range(1 << 2 * k).select(F.col("id").alias("code"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("slot"))
+    u = (SK.inv32((F.col("code") + F.col("slot") * F.lit(SK.SLOT_STEP)).bitwiseAND(F.lit(0xFFFFFFFF))) + 0.5) / F.lit(4294967296.0)
+    rows = code.select("slot", "code", (-F.log(u)).alias("time")).toPandas()
+    got = SK._all_waits(k, m)[rows["slot"], rows["code"]]
+    assert np.abs(got / rows["time"] - 1).max() < 1e-15
+    assert all((SK._waits(np.arange(1 << 2 * k, dtype=np.uint64), slot) == x).all() for slot, x in enumerate(SK._all_waits(k, m)))
+
+
 def test_registers_in_batches_hash_a_code_once(monkeypatch):
     rnd = np.random.default_rng(4)
     own = np.repeat(np.arange(50), 400)

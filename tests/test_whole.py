@@ -187,6 +187,11 @@ def test_every_sequence_has_all_its_links(spark, sf, name):
     assert got == want and any(k != v[0] for k, v in want.items())
 
 
+def test_signatures_of_links_make_no_row_for_each_kmer(spark, sf):
+    plan = slot_values(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan
+
+
 def test_block_distances_of_all_pairs(spark, sf):
     sigs = {(r["seq_id"], r["block_no"]): r["sig"] for r in SK.block_sketch(seqs(spark, sf), 8, 16, 100).collect()}
     rows = QUERIES["dist_block"](spark, sf).collect()
