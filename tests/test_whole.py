@@ -9,7 +9,7 @@ import pytest
 from strandwise.operators import kmers as K
 from strandwise.operators import similarity as SI
 from strandwise.operators import sketch as SK
-from strandwise.plans.queries import QUERIES, seqs, slot_values
+from strandwise.plans.queries import QUERIES, SQL, seqs, slot_values
 
 
 def classes(spark, sf, k):
@@ -192,6 +192,21 @@ def test_signatures_of_links_make_no_row_for_each_kmer(spark, sf):
     assert "MapInArrow" in plan and "regexp_extract_all" not in plan
 
 
+@pytest.mark.parametrize("name", ["set_intersect_sig", "dist_hamming", "sim_slots", "sim_objects"])
+def test_links_of_odd_texts_without_rows_for_kmers(spark, tmp_path, monkeypatch, name):
+    duckdb = pytest.importorskip("duckdb")
+    long = "".join(np.random.default_rng(6).choice(list("ACGTn "), 1000))
+    texts = [(1, long), (2, long), (3, None), (4, ""), (5, "acgt A"), (6, "ACGTAC"), (7, long[:300]), (7, long[300:400]), (None, long[500:700]), (8, long[::-1] * 20)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(SK, "race", None)
+    monkeypatch.setattr(K, "kmers", None)
+    got = QUERIES[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len({x[0] for x in want}) == 6
+
+
 def test_block_distances_of_all_pairs(spark, sf):
     sigs = {(r["seq_id"], r["block_no"]): r["sig"] for r in SK.block_sketch(seqs(spark, sf), 8, 16, 100).collect()}
     rows = QUERIES["dist_block"](spark, sf).collect()
